@@ -31,7 +31,7 @@ from kgspark.llm.sentences import MAX_QUOTE, sentence_starts
 MAX_CHARS, OVERLAP = 2000, 200
 RANGE_CHARS = 32_768
 #: Longer than any context a rule looks at: a quotation and the sentence around it.
-HALO = 4 * MAX_QUOTE
+HALO = 10 * MAX_QUOTE
 
 BLANK, PARAGRAPH, ITEM, SENTENCE = "blank", "paragraph", "item", "sentence"
 
@@ -99,6 +99,8 @@ def candidates(text: str, lang: str | None = None) -> list[Boundary]:
             found[s] = Boundary(s, SENTENCE)
     for m in _LEADS.finditer(text):
         p = m.end()
+        if p in found and found[p].kind == PARAGRAPH:
+            continue
         if p < len(text) and _ITEM.match(text, p) and (m.group().strip() or p in found):
             found[p] = Boundary(p, ITEM)
         elif p < len(text) and not m.group().strip() and _ITEM.match(text, p):
