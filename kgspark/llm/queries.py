@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import celex_of, key_form
-from kgspark.llm import mixing, packing, quota, sentences, split, terms
+from kgspark.llm import mixing, packing, quota, residue, sentences, split, terms
 from kgspark.plans.problems import sql_key
 from kgspark.session import read_table
 
@@ -122,9 +122,25 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_report(spark, sf).where("short").select("source")
 
 
+# --- 10: residue
+def p10_residue(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with text: its class, its near-duplicate component and the verdict."""
+    return residue.find_residue(read_table(spark, sf, "documents"))
+
+
+def p10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Verified links between the representatives of classes of equal texts."""
+    return residue.near_duplicates(read_table(spark, sf, "documents"))["pairs"]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold residue."""
+    return p10_residue(spark, sf).where("residue").select("doc_id").distinct()
+
+
 QUERIES = {f.__name__: f for f in (
     p2_found, p2_pieces, p5_found, p5_terms, p6_found, p6_sentences, p7_found, p7_sample, p7_report,
-    p8_found, p8_pack, p8_report, p9_found, p9_mix, p9_report,
+    p8_found, p8_pack, p8_report, p9_found, p9_mix, p9_report, p10_found, p10_residue, p10_near_duplicates,
 )}
 
 _P5 = f"""
