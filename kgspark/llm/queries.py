@@ -6,11 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import celex_of, key_form
-from kgspark.llm import mixing, packing, quota, residue, sentences, split, terms
+from kgspark.llm import mixing, names, packing, quota, residue, sentences, split, terms
 from kgspark.plans.problems import sql_key
 from kgspark.session import read_table
 
 
+# --- 1: names
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    ex = read_table(spark, sf, "extractions").select("entities", "relations")
+    ent = ex.select(F.explode("entities").alias("e")).select(key_form("e.text").alias("key"))
+    rel = ex.select(F.explode("relations").alias("r")).select(F.explode(F.array("r.subject", "r.object")).alias("t")).select(key_form("t").alias("key"))
+    return ent.unionByName(rel)
+
+
+def p1_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling of a person, body or act with its entity."""
+    return names.link_names(_names(spark, sf))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of spellings of one entity."""
+    return names.name_pairs(p1_links(spark, sf))
+
+
 # --- 2: oversized texts
 def _split(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return split.split_rows(read_table(spark, sf, "chunks").select("seq", "text"), "seq", "text")
@@ -139,7 +157,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_pieces, p5_found, p5_terms, p6_found, p6_sentences, p7_found, p7_sample, p7_report,
+    p1_found, p1_links, p2_found, p2_pieces, p5_found, p5_terms, p6_found, p6_sentences, p7_found, p7_sample, p7_report,
     p8_found, p8_pack, p8_report, p9_found, p9_mix, p9_report, p10_found, p10_residue, p10_near_duplicates,
 )}
 
