@@ -81,11 +81,13 @@ _SCRIPT = re.compile(
 _FILLER = re.compile(rf"(?:\b(?:{'|'.join(FILLER.split())})\b[ .,;:]*){{5,}}")
 _PLAIN = re.compile(r"[a-z]+(?: [a-z]+){0,5}")
 #: Weaker traces, used only next to a trusted text of the same component.
-_HINT = re.compile(
-    r"\{\{|\}\}|\[\[|<%|\$\{|@@|__|(?<![“„\"])\[(?:insert|todo)|to be completed\]|lorem|xxxx|dummy text|scripting|scripts|loading…|is missing|been moved|could not be loaded|failed to render|cannot be displayed|introuvable|no existe"
-)
+HINTS = [
+    "{{", "}}", "[[", "<%", "${", "@@", "__", "[todo", "to be completed]", "lorem", "xxxx", "dummy text", "scripting", "scripts", "loading…",
+    "is missing", "been moved", "could not be loaded", "failed to render", "cannot be displayed", "introuvable", "no existe",
+]
 #: What any placeholder holds; the full pattern is tried only on texts with one of these.
-_OPENERS = re.compile(r"[{\[<@#$]|__|%[A-Za-z]|«[A-Za-z]|\?\?\?|/YYYY|\.JJJJ|/AAAA|\(null|TBD|XX|NaN")
+OPENERS = ["{", "[", "<", "@@", "#", "$", "__", "???", "/yyyy", ".jjjj", "/aaaa", "(null", "tbd", "article xx", "nan "]
+_OPENERS = re.compile(r"[%«][A-Za-z]")
 _WORDLESS = re.compile(r"[฀-๿぀-ヿ一-鿿]")
 _M = np.array([0x9E3779B97F4A7C15 ** (i + 1) % 2**64 | 1 for i in range(SHINGLE)], dtype=np.uint64)
 
@@ -95,18 +97,22 @@ def normalise(text: str) -> str:
     return " ".join(text.replace("­ ", "").replace("­\n", "").replace("­", "").lower().split())
 
 
+_PHRASE, _FILLER_WORD, _SCRIPT_WORD, _FAILURE, _HINTED, _OPENER = (1 << i for i in range(6))
+
+
 def _automaton():
     import ahocorasick
 
+    words: dict[str, int] = {}
+    for bit, group in (
+        (_PHRASE, PHRASES), (_FILLER_WORD, [f" {w} " for w in FILLER.split()]), (_SCRIPT_WORD, ["script", " js ", "cookies"]), (_HINTED, HINTS), (_OPENER, OPENERS),
+        (_FAILURE, ["is missing", "been moved", "not be loaded", "failed to render", "was rejected", "timed out", "be displayed", "http", "error ", "status ", "code:"]),
+    ):
+        for w in group:
+            words[w] = words.get(w, 0) | bit
     a = ahocorasick.Automaton()
-    for p in PHRASES:
-        a.add_word(p, (0, p))
-    for w in FILLER.split():
-        a.add_word(f" {w} ", (1, w))
-    for w in ("script", " js ", "cookies"):
-        a.add_word(w, (2, w))
-    for w in ("is missing", "been moved", "not be loaded", "failed to render", "was rejected", "timed out", "be displayed", "http", "error ", "status ", "code:"):
-        a.add_word(w, (3, w))
+    for w, bits in words.items():
+        a.add_word(w, bits)
     a.make_automaton()
     return a
 
@@ -120,27 +126,26 @@ def _repeated(norm: str) -> bool:
     return any(a == b == c and _PLAIN.fullmatch(a) is not None for a, b, c in zip(parts, parts[1:], parts[2:], strict=False))
 
 
-def is_trusted(text: str, norm: str) -> bool:
-    """An unfilled placeholder, filler, error message or demand for scripts that stands as content."""
+def traces(text: str, norm: str) -> tuple[bool, bool]:
+    """(trusted, hint): an unmistakable placeholder, filler, error message or demand for scripts; a weaker trace."""
     global _AC
     _AC = _AC or _automaton()
-    filler, script, failure = 0, False, False
-    for _, (kind, _p) in _AC.iter(norm):
-        if kind == 0:
-            return True
-        filler += kind == 1
-        script |= kind == 2
-        failure |= kind == 3
-    if script and _SCRIPT.search(norm):
-        return True
-    if filler >= 2 and _FILLER.search(norm):
-        return True
-    if failure and (_CODE.search(norm) or _PREDICATE.search(norm)):
-        return True
-    if _repeated(norm):
-        return True
-    if not _OPENERS.search(text):
-        return False
+    seen = filler = 0
+    for _, bits in _AC.iter(norm):
+        seen |= bits
+        filler += bits & _FILLER_WORD
+    trusted = bool(
+        seen & _PHRASE
+        or (seen & _SCRIPT_WORD and _SCRIPT.search(norm))
+        or (filler >= 2 * _FILLER_WORD and _FILLER.search(norm))
+        or (seen & _FAILURE and (_CODE.search(norm) or _PREDICATE.search(norm)))
+        or _repeated(norm)
+        or ((seen & _OPENER or _OPENERS.search(text)) and _unfilled(text))
+    )
+    return trusted, trusted or bool(seen & _HINTED)
+
+
+def _unfilled(text: str) -> bool:
     flat = " ".join(text.replace("­ ", "").split())
     if not _PLACEHOLDER.search(flat):
         return False
@@ -148,23 +153,24 @@ def is_trusted(text: str, norm: str) -> bool:
     return bool(_PLACEHOLDER.search(_QUOTED.sub(" ", flat)))
 
 
-_WORDS: dict[str, int] = {}
+class _Words(dict):
+    """Hashes of words, kept while the vocabulary is small."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_WORDS = _Words()
 
 
 def _word_hashes(norm: str) -> np.ndarray:
     words = norm.split(" ")
     if len(norm) > 25 * len(words) and _WORDLESS.search(norm):
         words = list(norm.replace(" ", ""))
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
-    get = _WORDS.get
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -220,11 +226,11 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             norms = [normalise(t) for t in texts]
             sets = [shingles(n) for n in norms]
             f = simhash(sets).view(np.int64)
-            trusted = [bool(n) and is_trusted(t, n) for t, n in zip(texts, norms, strict=True)]
+            marks = [traces(t, n) if n else (False, False) for t, n in zip(texts, norms, strict=True)]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "text_hash": [xxhash.xxh3_128_hexdigest(n) if n else None for n in norms],
-                "n_shingles": [len(s) for s in sets], "f1": f[:, 0], "f2": f[:, 1], "trusted": trusted,
-                "hint": [t or (bool(n) and _HINT.search(n) is not None) for t, n in zip(trusted, norms, strict=True)],
+                "n_shingles": [len(s) for s in sets], "f1": f[:, 0], "f2": f[:, 1],
+                "trusted": [m[0] for m in marks], "hint": [m[1] for m in marks],
             })
 
 
