@@ -23,7 +23,7 @@ from kgspark.llm.tokens import DEFAULT_VOCABULARY, encode
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
-_OUT = "container_id bigint, position int, id bigint, piece_no int, n_pieces int, token_start bigint, n_tokens bigint, score double"
+_OUT = "container_id bigint, position int, id string, piece_no int, n_pieces int, token_start bigint, n_tokens bigint, score double"
 _CONTAINERS_PER_SHARD = 100_000_000
 
 
@@ -100,7 +100,7 @@ def _pack_shard(capacity: int, vocabulary: str):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(key[0]) * _CONTAINERS_PER_SHARD
         rows, items, origin = [], [], []
-        pdf = pdf.sort_values("id", kind="stable")
+        pdf = pdf.sort_values(["id", "text"], kind="stable")  # ids travel as text: whole numbers with NULLs would become floats
         box = 0
         for id_, text in zip(pdf["id"], pdf["text"], strict=True):
             tok = encode(text, vocabulary)
@@ -131,12 +131,12 @@ def pack_containers(
     vocabulary: str = DEFAULT_VOCABULARY, shard_docs: int = SHARD_DOCS,
 ) -> DataFrame:
     """One row per packed piece: container_id, position, id, piece_no, n_pieces, token_start, n_tokens, score."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     shards = max(1, math.ceil(rows.count() / shard_docs))
     # rows are spread by id and content, so repeats of an id or of a text do not pile up in one shard's memory
     shard = F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("int")
     packed = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack_shard(capacity, vocabulary), _OUT)
-    return packed.withColumnRenamed("id", id_col)
+    return packed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -148,7 +148,7 @@ def p10_residue(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Verified links between the representatives of classes of equal texts."""
-    return residue.near_duplicates(read_table(spark, sf, "documents"))["pairs"]
+    return residue.representative_pairs(residue.near_duplicates(read_table(spark, sf, "documents")))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,8 @@ smallest priority follows from the category counts alone, so nothing is sorted g
 category are computed on the (fixed, small) target table and a record is kept if its rank is within them.
 
 Defined results: NULL categories and items belong to no category; repeated items count once; a category
-without items gets no seat and is reported short; an empty pool gives an empty sample.
+without items gets no seat and is reported short; an empty pool gives an empty sample; targets without plan,
+pool or category are left out, missing numbers are 0, and a target of 0 gets its minimum only.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ def quota_sample(items: DataFrame, targets: DataFrame, seed: int = 42) -> dict[s
     counts = pool.groupBy("pool", "category").agg(F.count(F.lit(1)).alias("available"))
     rows = (
         targets.join(counts, ["pool", "category"], "left")
-        .select("plan_id", "pool", "category", "target_permille", "sample_size", "min_rows", F.coalesce("available", F.lit(0)).alias("available"))
+        .where("plan_id is not null and pool is not null and category is not null")
+        .select("plan_id", "pool", "category", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("target_permille", "sample_size", "min_rows", "available")])
         .distinct().limit(MAX_TARGETS + 1).collect()
     )
     if len(rows) > MAX_TARGETS:
@@ -92,7 +94,7 @@ def quota_sample(items: DataFrame, targets: DataFrame, seed: int = 42) -> dict[s
     ranked = spread_rank(pool.withColumn("h", F.xxhash64("item", "category", F.lit(seed))), ["pool", "category"], ["h", "item"], total)
     # one row per target: bounded by MAX_TARGETS, so the broadcast is too
     sample = ranked.join(F.broadcast(plan_df.select("plan_id", "pool", "category", "target_permille", "seats")), ["pool", "category"]).where("rank <= seats")
-    sample = sample.select("plan_id", "pool", "category", "item", "rank", ((F.col("rank") - 0.5) / F.col("target_permille")).alias("priority"))
+    sample = sample.select("plan_id", "pool", "category", "item", "rank", F.try_divide(F.col("rank") - 0.5, F.col("target_permille").cast("double")).alias("priority"))
     need = F.greatest(F.col("min_rows").cast("bigint"), F.ceil(F.col("target_permille").cast("bigint") * F.col("sample_size") / F.lit(1000)))
     drawn = sample.groupBy("plan_id", "pool", "category").agg(F.count(F.lit(1)).alias("drawn"))
     report = plan_df.withColumn("needed", need).join(drawn, ["plan_id", "pool", "category"], "left")

@@ -10,7 +10,7 @@
 5. Connected components of the verified pairs carry the trusted labels; a member is residue if it is
    trusted itself or shows a hint in a component (or class) that holds a trusted one.
 
-Defined results: NULL, empty and blank texts are no residue and have no near-duplicates; texts shorter than
+Defined results: rows without an id are left out; NULL, empty and blank texts are no residue and have no near-duplicates; texts shorter than
 five words are one shingle; scripts without spaces are shingled by character.
 """
 
@@ -259,50 +259,59 @@ def _keys(bits: int, tables: int, seed: int):
             b = np.unpackbits(f.view(np.uint8), axis=1)
             for t, pick in enumerate(picks):
                 key = b[:, pick].astype(np.int64) @ weight
-                yield pd.DataFrame({"bucket": key * 4096 + t, "id": pdf["doc_id"], "f1": f[:, 0], "f2": f[:, 1]})
+                yield pd.DataFrame({"bucket": key * 4096 + t, "id": pdf["cid"], "f1": f[:, 0], "f2": f[:, 1]})
 
     return run
 
 
 def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sets = [shingles(normalise(t)) for t in pdf["text"]]
-        yield pd.DataFrame({"id": pdf["doc_id"], "s": [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in sets]})
+        norms = [normalise(t) for t in pdf["text"]]
+        sets = [(shingles(n) >> np.uint64(32)).astype(np.uint32).view(np.int32) for n in norms]
+        yield pd.DataFrame({"text_hash": [xxhash.xxh3_128_hexdigest(n) for n in norms], "s": sets})
 
 
 def near_duplicates(docs: DataFrame, seed: int = 7) -> dict[str, DataFrame]:
-    """``signed`` (rule results per row), ``classes`` (text_hash -> id), ``pairs`` (a, b, similarity of classes)."""
-    rows = docs.select("doc_id", "text")
+    """``signed`` (rule results per row), ``classes`` (one row per distinct text: cid, smallest doc_id, copies), ``pairs`` (a, b, similarity of classes by cid)."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     signed = materialize(rows.mapInPandas(_sign, _SIGNED), "residue-signed")
     classes = materialize(
         signed.where("text_hash is not null").groupBy("text_hash").agg(
-            F.min("doc_id").alias("doc_id"), F.min_by("f1", "doc_id").alias("f1"), F.min_by("f2", "doc_id").alias("f2"),
+            F.xxhash64(F.first("text_hash")).alias("cid"), F.min("doc_id").alias("doc_id"), F.first("f1").alias("f1"), F.first("f2").alias("f2"),
             F.max("trusted").alias("trusted"), F.max("hint").alias("hint"), F.count(F.lit(1)).alias("copies"),
         ), "residue-classes",
     )
     n = classes.count()
     bits, tables, radius = table_plan(n)
-    keyed = classes.select("doc_id", "f1", "f2").mapInPandas(_keys(bits, tables, seed), "bucket bigint, id bigint, f1 bigint, f2 bigint")
+    keyed = classes.select("cid", "f1", "f2").mapInPandas(_keys(bits, tables, seed), "bucket bigint, id bigint, f1 bigint, f2 bigint")
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = F.bit_count(F.col("a.f1").bitwiseXOR(F.col("b.f1"))) + F.bit_count(F.col("a.f2").bitwiseXOR(F.col("b.f2")))
     near = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (apart <= radius))
     near = materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "residue-near")
-    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = rows.join(ids, "doc_id", "left_semi").mapInPandas(_shingle_rows, "id bigint, s array<int>")
-    sets = materialize(sets.dropDuplicates(["id"]), "residue-sets")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+    # the texts of the smallest ids of these classes; an id that stands for several texts brings them all
+    wanted = classes.join(ids, "cid", "left_semi").select("doc_id").distinct()
+    sets = rows.join(wanted, "doc_id", "left_semi").where("text is not null").mapInPandas(_shingle_rows, "text_hash string, s array<int>")
+    sets = materialize(sets.withColumn("cid", F.xxhash64("text_hash")).dropDuplicates(["cid"]).select("cid", "s"), "residue-sets")
+    both = near.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = common / (F.size("sa") + F.size("sb") - common)
     pairs = both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY)
     return {"signed": signed, "classes": classes, "pairs": materialize(pairs, "residue-pairs")}
 
 
+def representative_pairs(t: dict[str, DataFrame]) -> DataFrame:
+    """(doc_a, doc_b, similarity): the verified links by the smallest document of each class."""
+    a, b = (t["classes"].select(F.col("cid").alias(s), F.col("doc_id").alias(f"doc_{s}")) for s in ("a", "b"))
+    return t["pairs"].join(a, "a").join(b, "b").select("doc_a", "doc_b", "similarity")
+
+
 def find_residue(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, component, trusted, residue) for every row with text."""
     t = near_duplicates(docs)
     comp = connected_components(t["pairs"], "a", "b")
-    member = t["classes"].join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    member = member.withColumn("component", F.coalesce("component", "doc_id"))
+    member = t["classes"].join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    member = member.withColumn("component", F.coalesce("component", "cid"))
     spread = member.groupBy("component").agg(F.max("trusted").alias("in_component"))
     # a component is a group of distinct texts; the label comes back by one row per component
     label = hot_split_join(member, spread, "component")

@@ -8,7 +8,8 @@ and a prefix sum over the ranges numbers them.  Pieces are emitted by offset.  N
 file: ``split_files`` reads byte ranges; ``split_rows`` works on texts that already sit in a table.
 
 Defined results: texts at or under the limit, NULL and empty texts give no piece (they need no cut).
-Repeated rows are each split; rows are told apart by ``id_col``, which must be unique.  A stretch without
+Rows are told apart by id and text: equal rows are split once, an id with two
+texts gives the pieces of both, a NULL id is an id like any other.  A stretch without
 any boundary is cut at white space, and without white space at the limit.  Dropping the overlap of every
 piece and concatenating gives the text back.
 """
@@ -218,7 +219,9 @@ def split_rows(
     """
     if not 0 <= overlap < max_chars or halo < max_chars:
         raise ValueError("overlap must be under the limit and the halo at least the limit")
-    big = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > max_chars)
+    big = rows.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).where(F.length("text") > max_chars)
+    big = big.withColumn("id", F.xxhash64("_own", "text")).dropDuplicates(["id"])
+    owner = big.select("id", "_own")
     ranges = text_ranges(big, range_chars, halo)
     marks = range_boundaries(ranges)
     per = marks.groupBy("id", "r").agg(F.sort_array(F.collect_list(F.struct("pos", "kind"))).alias("m"))
@@ -234,11 +237,12 @@ def split_rows(
     before = F.coalesce(F.sum(F.size("p")).over(by_id.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = planned.withColumn("k0", before).select("id", "first", "window", "k0", F.posexplode("p").alias("k", "q"))
     pieces = out.select(
-        F.col("id").alias(id_col), (F.col("k0") + F.col("k")).cast("int").alias("piece_no"),
+        "id", (F.col("k0") + F.col("k")).cast("int").alias("piece_no"),
         (F.col("q.start") + 1).alias("start_pos"), (F.col("q.core") + 1).alias("new_pos"), F.col("q.end").alias("end_pos"),
         F.substring("window", (F.col("q.start") - F.col("first") + 1).cast("int"), (F.col("q.end") - F.col("q.start")).cast("int")).alias("piece"),
     )
-    return {"boundaries": marks.select(F.col("id").alias(id_col), (F.col("pos") + 1).alias("pos"), "kind"), "pieces": pieces}
+    named = lambda df: df.join(owner, "id").select(F.col("_own").alias(id_col), *[c for c in df.columns if c != "id"])
+    return {"boundaries": named(marks.select("id", (F.col("pos") + 1).alias("pos"), "kind")), "pieces": named(pieces)}
 
 
 def file_ranges(spark: SparkSession, paths: list[tuple[str, int]], range_bytes: int) -> DataFrame:
