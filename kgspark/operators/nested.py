@@ -6,7 +6,7 @@ one identity wherever they occur.  ``objects`` stores each identity once, ``brid
 (parent, kind, ordinal, child), ``lines`` the root of each input line.  Every occurrence is recovered by
 walking the bridge; the flat tables do exactly that.
 
-Defined results: NULL, blank and cut-off lines, and lines that hold anything but one JSON object, give no
+Defined results: lines without a number, NULL, blank and cut-off lines, and lines that hold anything but one JSON object, give no
 rows.  A leading byte-order mark is not part of the record.  A lone object where an array is expected has
 ordinal 0; NULL or non-object elements keep their place and give no row; a result kept as text is parsed,
 and if it cannot be parsed it has no children.  Missing or NULL text is ''.
@@ -119,7 +119,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def merkle_tables(runs: DataFrame) -> dict[str, DataFrame]:
     """``lines``, ``bridge`` and ``objects`` of a table with columns line_no and raw (others are ignored)."""
-    nodes = materialize(runs.select("line_no", "raw").mapInPandas(_parse, NODES), "nested")
+    nodes = materialize(runs.select("line_no", "raw").where("line_no is not null and raw is not null").mapInPandas(_parse, NODES), "nested")
     lines = nodes.where("kind = 'record'").select("line_no", "chunk_id", F.col("hash").alias("record_hash"))
     # equal subtrees arrive once per occurrence; both groupings combine on the map side, so a record that
     # makes up a third of all lines costs one row per task
