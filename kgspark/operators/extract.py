@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import ENTITY_TYPES
+from kgspark.session import materialize, spread
 
 RESULT = "chunk_id string, entities array<struct<text:string,type:string>>, relations array<struct<subject:string,relation:string,object:string>>, status string, attempts int, error string, backend string"
 
@@ -150,7 +151,7 @@ def run(chunks: DataFrame, backend: Backend, timeout: float | None = None) -> Da
             if safe:
                 safe.close()
 
-    return chunks.select("chunk_id", "text").mapInPandas(work, RESULT)
+    return spread(chunks.select("chunk_id", "text")).mapInPandas(work, RESULT)
 
 
 def pending(chunks: DataFrame, done: DataFrame) -> DataFrame:
@@ -163,8 +164,6 @@ def run_with_fallback(chunks: DataFrame, first: Backend, second: Backend, timeou
 
     The first pass is materialised, because a model is never called twice for one chunk.
     """
-    from kgspark.session import materialize
-
     one = materialize(run(chunks, first, timeout), "extract")
     bad = one.where("status <> 'ok'")
     two = materialize(run(chunks.join(bad.select("chunk_id").distinct(), "chunk_id", "left_semi"), second), "extract-again")

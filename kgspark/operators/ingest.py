@@ -67,55 +67,64 @@ def articles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marks(rows: DataFrame, id_cols: list[str], text_col: str, pattern: str) -> DataFrame:
-    """(ids, text, k, n, start, stop): matches of a pattern with one number group; offsets count from 0."""
-    pre = rows.select(*id_cols, text_col, F.split(text_col, pattern, -1).alias("_p"), F.expr(f"regexp_extract_all({text_col}, r'{pattern}', 0)").alias("_f"), F.expr(f"regexp_extract_all({text_col}, r'{pattern}', 1)").alias("_n"))
-    each = pre.select(*id_cols, text_col, F.posexplode(F.arrays_zip("_f", "_n", "_p")).alias("k", "x")).where("x._f is not null")
-    w = W.partitionBy(*id_cols).orderBy("k")
-    stop = F.sum(F.length("x._p") + F.length("x._f")).over(w)
-    return each.select(*id_cols, text_col, "k", F.col("x._n").cast("int").alias("n"), (stop - F.length("x._f")).alias("start"), stop.alias("stop"))
+    """(ids, k, n, start, stop): matches of a pattern with one number group; offsets count from 0.
+
+    Only lengths leave the text's row: carrying the text along would copy it once per match.
+    """
+    pre = rows.select(*id_cols, F.split(text_col, pattern, -1).alias("_p"), F.expr(f"regexp_extract_all({text_col}, r'{pattern}', 0)").alias("_f"), F.expr(f"regexp_extract_all({text_col}, r'{pattern}', 1)").alias("_n"))
+    sizes = F.arrays_zip(F.transform("_f", F.length).alias("f"), "_n", F.transform("_p", F.length).alias("p"))
+    each = pre.select(*id_cols, F.posexplode(sizes).alias("k", "x")).where("x.f is not null")
+    stop = F.sum(F.col("x.p") + F.col("x.f")).over(W.partitionBy(*id_cols).orderBy("k"))
+    return each.select(*id_cols, "k", F.col("x._n").cast("int").alias("n"), (stop - F.col("x.f")).alias("start"), stop.alias("stop"))
 
 
 def recitals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos from 1, text): accepted markers define the spans, printed numbers are ignored, footnotes removed."""
+    """(id, pos from 1, text): accepted markers define the spans, printed numbers are ignored, footnotes removed.
+
+    The pieces between markers are exploded, never the whole text; the piece of a rejected marker is put
+    back behind the recital it interrupts.
+    """
     t = F.col(text_col)
     a, b = F.regexp_instr(t, F.lit("Whereas:")), F.regexp_instr(t, F.lit(ADOPTED))
     inside = F.when((a > 0) & (b >= a + 8), F.substring(t, a + 8, b - a - 8))
     pre = docs.select(id_col, F.regexp_replace(inside, WS + "+", " ").alias("_t")).where("_t is not null")
-    found = marks(pre, [id_col], "_t", RECITAL_MARK)
+    cut = pre.select(id_col, F.split("_t", RECITAL_MARK, -1).alias("p"), F.expr(f"regexp_extract_all(_t, r'{RECITAL_MARK}', 0)").alias("f"))
+    zipped = F.arrays_zip("f", F.slice("p", F.lit(2), F.size("p")).alias("b"))
+    each = cut.select(id_col, F.posexplode(zipped).alias("k", "x")).where("x.f is not null").select(id_col, "k", F.col("x.f").alias("f"), F.col("x.b").alias("b"))
+    each = each.withColumn("ok", is_recital(F.substring("b", 1, 300)))
     w = W.partitionBy(id_col).orderBy("k")
-    upto = F.coalesce(F.lead("start").over(w), F.length("_t"))
-    cand = found.withColumn("_c", F.expr("substring(_t, stop + 1, 300)")).withColumn("_e", upto)
-    cand = cand.withColumn("_c", F.expr("substring(_c, 1, least(300, _e - stop))")).where(is_recital("_c"))
-    end = F.coalesce(F.lead("start").over(w), F.length("_t"))
-    spans = cand.withColumn("_end", end).select(id_col, F.row_number().over(w).alias("pos"), strip_ws(F.expr("substring(_t, stop + 1, _end - stop)")).alias("text"))
+    each = each.withColumn("pos", F.sum(F.col("ok").cast("int")).over(w)).where("pos > 0")
+    piece = F.when(F.col("ok"), F.col("b")).otherwise(F.concat("f", "b"))
+    spans = each.groupBy(id_col, "pos").agg(F.array_sort(F.collect_list(F.struct("k", piece.alias("s")))).alias("l"))
+    spans = spans.select(id_col, "pos", strip_ws(F.array_join(F.transform("l", lambda x: x["s"]), "")).alias("text"))
     return strip_footnotes(spans, [id_col, "pos"], "text")
 
 
 def footnote_runs(rows: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """(ids, text, run, n_marks, first_n, start, stop): runs of two or more consecutive close markers."""
+    """(ids, run, n_marks, first_n, start, stop): runs of two or more consecutive close markers."""
     w = W.partitionBy(*id_cols).orderBy("k")
     m = marks(rows, id_cols, text_col, FOOTNOTE_MARK)
     goes_on = (F.col("n") == F.lag("n").over(w) + 1) & (F.col("start") - F.lag("stop").over(w) <= FOOTNOTE_GAP)
     m = m.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w))
-    runs = m.groupBy(*id_cols, "run").agg(F.first(text_col).alias(text_col), F.count(F.lit(1)).alias("n_marks"), F.min("n").alias("first_n"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    runs = m.groupBy(*id_cols, "run").agg(F.count(F.lit(1)).alias("n_marks"), F.min("n").alias("first_n"), F.min("start").alias("start"), F.max("stop").alias("stop"))
     return runs.where("n_marks >= 2")
 
 
 def strip_footnotes(rows: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """``rows`` with embedded footnote blocks removed; texts without a removable block stay as they are."""
-    runs = footnote_runs(rows, id_cols, text_col)
-    tail = F.expr(f"substring({text_col}, stop + 1, {FOOTNOTE_GAP})")
-    runs = runs.withColumn("_tail", tail)
-    oj = F.expr(f"regexp_instr(_tail, r'{OJ_END}')") + F.length(F.expr(f"regexp_extract(_tail, r'{OJ_END}', 0)")) - 1
-    brk = F.expr(f"regexp_instr(_tail, r'{SENTENCE_BREAK}')") + F.length(F.expr(f"regexp_extract(_tail, r'{SENTENCE_BREAK}', 0)")) - 1
-    found_oj, found_brk = F.expr(f"regexp_instr(_tail, r'{OJ_END}') > 0"), F.expr(f"regexp_instr(_tail, r'{SENTENCE_BREAK}') > 0")
-    end = F.when(found_oj, F.col("stop") + oj).when(found_brk, F.col("stop") + brk)
-    cuts = runs.withColumn("_end", end).where("_end is not null").groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("a"), F.col("_end").alias("b")))).alias("_cuts"))
-    both = rows.join(cuts, id_cols, "left")
+    runs = footnote_runs(rows, id_cols, text_col).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
+    both = rows.join(runs, id_cols, "left")
+    oj, brk = f"r'{OJ_END}'", f"r'{SENTENCE_BREAK}'"
+    ends = F.expr(f"""transform(_runs, x -> named_struct('a', x.start, 'b', x.stop, 't', substring({text_col}, int(x.stop + 1), {FOOTNOTE_GAP})))""")
+    both = both.withColumn("_ends", ends)
+    cuts = F.expr(f"""filter(transform(_ends, x -> named_struct('a', x.a, 'b', x.b + case
+        when regexp_instr(x.t, {oj}) > 0 then regexp_instr(x.t, {oj}) + length(regexp_extract(x.t, {oj}, 0)) - 1
+        when regexp_instr(x.t, {brk}) > 0 then regexp_instr(x.t, {brk}) + length(regexp_extract(x.t, {brk}, 0)) - 1 end)), x -> x.b is not null)""")
+    both = both.withColumn("_cuts", cuts)
     fold = F.expr(f"""aggregate(_cuts, named_struct('s', '', 'e', cast(0 as bigint)),
         (acc, x) -> named_struct('s', concat(acc.s, if(x.a > acc.e, substring({text_col}, int(acc.e + 1), int(x.a - acc.e)), '')), 'e', greatest(acc.e, cast(x.b as bigint))),
         acc -> concat(acc.s, substring({text_col}, int(acc.e + 1), length({text_col}))))""")
-    clean = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(collapse_ws(fold))
+    clean = F.when(F.col("_cuts").isNull() | (F.size("_cuts") == 0), F.col(text_col)).otherwise(collapse_ws(fold))
     return both.select(*[clean.alias(c) if c == text_col else F.col(c) for c in rows.columns])
 
 

@@ -59,3 +59,32 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder: ``<dir>/<name>.parquet`` (a file or a folder of files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than there are cores (a few small files).
+
+    Inputs with enough splits pass unchanged, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context, so that no node needs it installed."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_kgspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="kgspark-code-")  # on the driver only; the driver serves the file
+    atexit.register(_remove_local, folder)
+    path = os.path.join(folder, "kgspark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._kgspark_shipped = True
