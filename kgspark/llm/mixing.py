@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.tokens import DEFAULT_VOCABULARY, token_count
 from kgspark.operators.skew import spread_rank
-from kgspark.session import materialize
+from kgspark.session import materialize, spread
 
 BLOCK_TOKENS = 32_768
 SHARD_TOKENS = 2_000_000
@@ -75,7 +75,7 @@ def mix_sources(
 ) -> dict[str, DataFrame]:
     """``mix`` (shard, shuffle_key, source, doc_id, copy, n_tokens) and ``report`` (one row per source)."""
     spark = docs.sparkSession
-    sizes = docs.select("doc_id", "source", token_count(vocabulary)("text").alias("n_tokens"))
+    sizes = spread(docs.select("doc_id", "source", "text")).select("doc_id", "source", token_count(vocabulary)("text").alias("n_tokens"))
     sizes = materialize(sizes, "mix-sizes")
     per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()["t"]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators.components import connected_components
 from kgspark.operators.skew import hot_split_join
-from kgspark.session import materialize
+from kgspark.session import materialize, spread
 
 SHINGLE, SIMILARITY, BITS, RECALL = 5, 0.8, 128, 0.9
 
@@ -274,7 +274,7 @@ def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_duplicates(docs: DataFrame, seed: int = 7) -> dict[str, DataFrame]:
     """``signed`` (rule results per row), ``classes`` (one row per distinct text: cid, smallest doc_id, copies), ``pairs`` (a, b, similarity of classes by cid)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    signed = materialize(rows.mapInPandas(_sign, _SIGNED), "residue-signed")
+    signed = materialize(spread(rows).mapInPandas(_sign, _SIGNED), "residue-signed")
     classes = materialize(
         signed.where("text_hash is not null").groupBy("text_hash").agg(
             F.xxhash64(F.first("text_hash")).alias("cid"), F.min("doc_id").alias("doc_id"), F.first("f1").alias("f1"), F.first("f2").alias("f2"),

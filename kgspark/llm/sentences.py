@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgspark.session import spread
+
 #: Longest quotation that protects its inside; longer ones are taken for unbalanced marks.
 MAX_QUOTE = 400
 
@@ -212,10 +214,10 @@ def _segment(texts: pd.Series) -> pd.DataFrame:
 def sentence_units(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, lang, sentence_no, start_pos, end_pos, sentence); positions count characters from 1, ends inclusive.
 
-    Row-local: no shuffle.  Repeated ids give the sentences of every row.
+    Row-local: no shuffle unless the input has fewer splits than there are cores.  Repeated ids give the sentences of every row.
     """
     seg = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("length(_t) > 0")
-    seg = seg.withColumn("_s", _segment("_t"))
+    seg = spread(seg).withColumn("_s", _segment("_t"))
     at = seg.select("_id", "_t", "_s.lang", F.col("_s.starts").alias("_st"), F.posexplode("_s.starts").alias("sentence_no", "_a"))
     nxt = F.coalesce(F.try_element_at("_st", F.col("sentence_no") + 2), F.length("_t"))
     raw = F.substring("_t", F.col("_a") + 1, nxt - F.col("_a"))

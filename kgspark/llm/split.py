@@ -222,7 +222,7 @@ def split_rows(
     big = rows.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).where(F.length("text") > max_chars)
     big = big.withColumn("id", F.xxhash64("_own", "text")).dropDuplicates(["id"])
     owner = big.select("id", "_own")
-    ranges = text_ranges(big, range_chars, halo)
+    ranges = text_ranges(big, range_chars, halo)  # the drop of duplicates has spread the rows
     marks = range_boundaries(ranges)
     per = marks.groupBy("id", "r").agg(F.sort_array(F.collect_list(F.struct("pos", "kind"))).alias("m"))
     seg = ranges.join(per, ["id", "r"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:bigint,kind:string>>")))
