@@ -135,7 +135,8 @@ def pack_containers(
     shards = max(1, math.ceil(rows.count() / shard_docs))
     # rows are spread by id and content, so repeats of an id or of a text do not pile up in one shard's memory
     shard = F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("int")
-    packed = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack_shard(capacity, vocabulary), _OUT)
+    # one task per shard: its input stays a few megabytes whatever the size of the corpus
+    packed = rows.withColumn("shard", shard).repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(capacity, vocabulary), _OUT)
     return packed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 

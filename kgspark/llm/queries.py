@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.functions.text import celex_of, key_form
+from kgspark.functions.text import celex_of, key_form, not_blank
 from kgspark.llm import mixing, names, packing, quota, residue, sentences, split, terms
 from kgspark.plans.problems import sql_key
 from kgspark.session import read_table
@@ -54,7 +54,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     ent = ent.select("seq", "chunk_id", F.explode(F.array(F.struct(F.lit("entity").alias("f"), F.col("e.text").alias("v")), F.struct(F.lit("type").alias("f"), F.col("e.type").alias("v")))).alias("x"))
     rel = ex.select("seq", "chunk_id", F.explode("relations").alias("r")).select("seq", "chunk_id", F.struct(F.lit("relation").alias("f"), F.col("r.relation").alias("v")).alias("x"))
     both = ent.unionByName(rel)
-    return both.select(F.col("x.f").alias("field_name"), key_form("x.v").alias("field_value"), F.col("chunk_id").alias("record"), F.col("seq").alias("row_id"))
+    return both.where(not_blank("x.v")).select(F.col("x.f").alias("field_name"), key_form("x.v").alias("field_value"), F.col("chunk_id").alias("record"), F.col("seq").alias("row_id"))
 
 
 def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,8 +82,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 # --- 7: samples
 def _quota(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     ex = read_table(spark, sf, "extractions").select("chunk_id", F.explode("entities").alias("e"))
-    ent = ex.select(F.lit("entities").alias("pool"), key_form("e.type").alias("category"), key_form("e.text").alias("name"), "chunk_id")
-    ent = ent.where("name <> ''").select("pool", "category", F.to_json(F.struct("chunk_id", "name"), {"ignoreNullFields": "false"}).alias("item"))
+    ent = ex.where(not_blank("e.text")).select(F.lit("entities").alias("pool"), key_form("e.type").alias("category"), key_form("e.text").alias("name"), "chunk_id")
+    ent = ent.select("pool", "category", F.to_json(F.struct("chunk_id", "name"), {"ignoreNullFields": "false"}).alias("item"))
     kind = F.when(F.col("chunk_id").contains("_recital_"), "recital").when(F.col("chunk_id").contains("_article_"), "article")
     rel = read_table(spark, sf, "relations_review").select(F.lit("relations").alias("pool"), F.concat(celex_of("chunk_id"), F.lit("|"), kind).alias("category"), F.col("chunk_id").alias("item"))
     return quota.quota_sample(ent.unionByName(rel), read_table(spark, sf, "sample_targets"))

@@ -59,7 +59,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 field.take(idx).to_pylist(), term.take(idx).to_pylist(), (ends - at).tolist(), docs.tolist(),
                 rec.take(idx).to_pylist(), rec.take(last).to_pylist(), strict=True,
             )
+            if r[1]
         ]
+        if not runs:
+            continue
         if held and held[:2] == runs[0][:2]:
             same = held[5] == runs[0][4] != ""
             runs[0] = [*held[:2], held[2] + runs[0][2], held[3] + runs[0][3] - same, held[4], runs[0][5]]
@@ -76,8 +79,8 @@ def term_frequencies(pairs: DataFrame, partitions: int | None = None) -> DataFra
     """(field_name, field_value, occurrences, records) from rows of (field_name, field_value, record, row_id)."""
     spark = pairs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = pairs.where("field_value <> ''").select(
-        "field_name", "field_value", F.coalesce(F.concat(F.lit("r"), F.col("record")), F.lit("")).alias("rec"), "row_id"
+    keyed = pairs.select(
+        "field_name", F.coalesce("field_value", F.lit("")).alias("field_value"), F.coalesce(F.concat(F.lit("r"), F.col("record")), F.lit("")).alias("rec"), "row_id"
     )
     order = ["field_name", "field_value", "rec", "row_id"]
     runs = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("row_id").mapInArrow(_scan, _PARTS)
