@@ -44,7 +44,16 @@ def is_footer_line(c: Column | str) -> Column:
 
 def is_self_reference(c: Column | str) -> Column:
     """'this Regulation', 'the Directive' and the like; a bare 'Regulation' is deliberately not matched."""
-    return strip_ws(c).rlike(r"(?i)^(?:this|the)\s+(?:regulation|directive|act|decision)$")
+    return col(c).rlike(rf"(?i)^{WS}*(?:this|the){WS}+(?:regulation|directive|act|decision){WS}*$")
+
+
+def not_blank(c: Column | str) -> Column:
+    """Whether a text holds anything but white space.
+
+    A filter on the key form would be pushed below the projection and compute the key twice; this one stops
+    at the first visible character.
+    """
+    return col(c).rlike(r"[^\s\p{IsWhite_Space}\x1c-\x1f]")
 
 
 def celex_of(chunk_id: Column | str) -> Column:

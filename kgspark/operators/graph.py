@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import (
-    ENTITY_TYPES, RELATION_TYPES, celex_of, is_self_reference, key_form, relation_line, truncate_at_sentence,
+    ENTITY_TYPES, RELATION_TYPES, celex_of, is_self_reference, key_form, not_blank, relation_line, truncate_at_sentence,
 )
 
 MAX_RELATIONS, MAX_CHUNKS, CONTEXT_CHARS, TITLE_CHARS = 15, 5, 600, 50
@@ -27,24 +27,39 @@ def relations(ex: DataFrame) -> DataFrame:
 
 def usable_mentions(ex: DataFrame) -> DataFrame:
     """Mentions that enter the graph: known type, text present, no self-reference."""
-    return mentions(ex).where(F.col("type").isin(ENTITY_TYPES) & (F.col("key") != "") & ~is_self_reference("text"))
+    return mentions(ex).where(F.col("type").isin(ENTITY_TYPES) & not_blank("text") & ~is_self_reference("text"))
 
 
-def canonical_types(ex: DataFrame) -> DataFrame:
-    """(key, type, votes): the most frequent type of a key, ties to the type seen first.
+def arrival() -> Column:
+    """Order of arrival (seq, pos) as one number: aggregates over it stay in fixed-width hash buffers."""
+    return F.col("seq").cast("decimal(20,0)") * F.lit(1 << 20).cast("decimal(10,0)") + F.col("pos")
+
 
-    Two map-side combined groupings instead of a window, so a key with a third of all mentions costs one
-    row per task and type.
+def spellings(ex: DataFrame) -> DataFrame:
+    """(key, type, text, n, first): mentions compressed to distinct spellings and types.
+
+    All a later vote or display name needs.  It is a hash aggregation on the map side, so a key with a third
+    of all mentions costs a few rows per task, and nothing sorts the mentions.
     """
-    votes = usable_mentions(ex).groupBy("key", "type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "pos")).alias("first"))
+    return usable_mentions(ex).groupBy("key", "type", "text").agg(F.count(F.lit(1)).alias("n"), F.min(arrival()).alias("first"))
+
+
+def canonical_types(ex: DataFrame) -> DataFrame:
+    """(key, type, votes): the most frequent type of a key, ties to the type seen first."""
+    return _vote(spellings(ex))
+
+
+def _vote(spelled: DataFrame) -> DataFrame:
+    votes = spelled.groupBy("key", "type").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     best = votes.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("nn"), "first", "type")).alias("b"))
     return best.select("key", "b.type", (-F.col("b.nn")).alias("votes"))
 
 
 def entity_nodes(ex: DataFrame) -> DataFrame:
     """(key, name, type): name is the spelling seen first, type the canonical one."""
-    names = usable_mentions(ex).groupBy("key").agg(F.min_by("text", F.struct("seq", "pos")).alias("name"))
-    return names.join(canonical_types(ex), "key").select("key", "name", "type")
+    spelled = spellings(ex)
+    names = spelled.groupBy("key").agg(F.min_by("text", "first").alias("name"))
+    return names.join(_vote(spelled), "key").select("key", "name", "type")
 
 
 def document_nodes(chunks: DataFrame, registry: DataFrame) -> DataFrame:
@@ -77,7 +92,7 @@ def relation_edges(ex: DataFrame, exact: bool = False) -> DataFrame:
 
     ``exact`` resolves ends by their exact spelling instead of their key.
     """
-    ok = F.filter(F.coalesce("entities", F.array().cast(ex.schema["entities"].dataType)), lambda e: e["type"].isin(ENTITY_TYPES) & (key_form(e["text"]) != "") & ~is_self_reference(e["text"]))
+    ok = F.filter(F.coalesce("entities", F.array().cast(ex.schema["entities"].dataType)), lambda e: e["type"].isin(ENTITY_TYPES) & not_blank(e["text"]) & ~is_self_reference(e["text"]))
     known = F.transform(ok, lambda e: e["text"] if exact else key_form(e["text"]))
     rows = ex.select(known.alias("known"), F.explode("relations").alias("r")).where(F.col("r.relation").isin(RELATION_TYPES))
     src, dst = (F.col("r.subject"), F.col("r.object")) if exact else (key_form("r.subject"), key_form("r.object"))
@@ -95,7 +110,7 @@ def grounded_relations(ex: DataFrame) -> DataFrame:
 
 def cooccurring_relations(ex: DataFrame, relation: str = "REFERENCES") -> DataFrame:
     """Rule default: neighbouring mentions of a record with at least two entities refer to each other."""
-    e = F.filter("entities", lambda x: x.isNotNull() & (key_form(x["text"]) != ""))
+    e = F.filter("entities", lambda x: x.isNotNull() & not_blank(x["text"]))
     rows = ex.select("seq", e.alias("e")).where("size(e) >= 2")
     pairs = F.arrays_zip(F.slice("e", F.lit(1), F.size("e") - 1).alias("a"), F.slice("e", F.lit(2), F.size("e") - 1).alias("b"))
     out = rows.select("seq", F.posexplode(pairs).alias("pos", "p")).where(key_form("p.a.text") != key_form("p.b.text"))

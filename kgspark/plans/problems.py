@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.functions.text import key_form
+from kgspark.functions.text import key_form, not_blank
 from kgspark.operators import nested, skew
 from kgspark.session import read_table
 
@@ -17,8 +17,8 @@ def p3_keys(spark: SparkSession, sf: str) -> DataFrame:
     ex = read_table(spark, sf, "extractions").select("seq", "chunk_id", "entities", "extracted_at")
     keys = ["key_kind", "key_value"]
     items = ex.select("seq", "chunk_id", "extracted_at", F.explode("entities").alias("e"))
-    items = items.select("seq", "chunk_id", "extracted_at", key_form("e.text").alias("ek"), F.nullif(key_form("e.type"), F.lit("")).alias("type"))
-    ent = items.where("ek <> ''").select(F.lit("entity").alias("key_kind"), F.col("ek").alias("key_value"), "seq", "type", "extracted_at")
+    items = items.select("seq", "chunk_id", "extracted_at", F.col("e.text").alias("text"), F.nullif(key_form("e.type"), F.lit("")).alias("type"))
+    ent = items.where(not_blank("text")).select(F.lit("entity").alias("key_kind"), key_form("text").alias("key_value"), "seq", "type", "extracted_at")
     chunk_types = items.where("chunk_id is not null").select(F.lit("chunk").alias("key_kind"), F.col("chunk_id").alias("key_value"), "type")
     # (key, record): the value of a hot key is spread over its records; then (key, mentions in the record)
     chunk_rec = ex.where("chunk_id is not null").select(
