@@ -44,22 +44,21 @@ def spellings(ex: DataFrame) -> DataFrame:
     return usable_mentions(ex).groupBy("key", "type", "text").agg(F.count(F.lit(1)).alias("n"), F.min(arrival()).alias("first"))
 
 
-def canonical_types(ex: DataFrame) -> DataFrame:
-    """(key, type, votes): the most frequent type of a key, ties to the type seen first."""
-    return _vote(spellings(ex))
+def _elected(ex: DataFrame) -> DataFrame:
+    """(key, name, type, votes) in one scan: spellings, then types of a key, then keys."""
+    votes = spellings(ex).groupBy("key", "type").agg(F.sum("n").alias("n"), F.min_by("text", "first").alias("name"), F.min("first").alias("first"))
+    best = votes.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("nn"), "first", "type")).alias("b"), F.min_by("name", "first").alias("name"))
+    return best.select("key", "name", "b.type", (-F.col("b.nn")).alias("votes"))
 
 
-def _vote(spelled: DataFrame) -> DataFrame:
-    votes = spelled.groupBy("key", "type").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    best = votes.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("nn"), "first", "type")).alias("b"))
-    return best.select("key", "b.type", (-F.col("b.nn")).alias("votes"))
+def canonical_types(ex: DataFrame) -> DataFrame:
+    """(key, type, votes): the most frequent type of a key, ties to the type seen first."""
+    return _elected(ex).select("key", "type", "votes")
 
 
 def entity_nodes(ex: DataFrame) -> DataFrame:
     """(key, name, type): name is the spelling seen first, type the canonical one."""
-    spelled = spellings(ex)
-    names = spelled.groupBy("key").agg(F.min_by("text", "first").alias("name"))
-    return names.join(_vote(spelled), "key").select("key", "name", "type")
+    return _elected(ex).select("key", "name", "type")
 
 
 def document_nodes(chunks: DataFrame, registry: DataFrame) -> DataFrame:
@@ -128,10 +127,11 @@ def pk_violations(nodes: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def neighborhood(edges: DataFrame, k: int = MAX_RELATIONS) -> DataFrame:
     """(key, rank, rel, other, outgoing): up to ``k`` edges of every entity in either direction, a self-loop once."""
-    out = edges.select(F.col("src").alias("key"), "rel", F.col("dst").alias("other"), F.lit(True).alias("outgoing"))
-    inn = edges.where("src <> dst").select(F.col("dst").alias("key"), "rel", F.col("src").alias("other"), F.lit(False).alias("outgoing"))
+    end = lambda a, b, out: F.struct(F.col(a).alias("key"), F.col(b).alias("other"), F.lit(out).alias("outgoing"))
+    ends = F.when(F.col("src") == F.col("dst"), F.array(end("src", "dst", True))).otherwise(F.array(end("src", "dst", True), end("dst", "src", False)))
+    both = edges.select("rel", F.explode(ends).alias("e")).select("e.key", "rel", "e.other", "e.outgoing")
     w = W.partitionBy("key").orderBy("rel", "other", F.desc("outgoing"))
-    return out.unionByName(inn).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def context_chunks(edges: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = MAX_CHUNKS) -> DataFrame:
