@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.session import materialize
+from kgspark.session import materialize, spread
 
 NODES = "line_no bigint, kind string, parent string, ordinal int, hash string, chunk_id string, payload string"
 
@@ -119,7 +119,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def merkle_tables(runs: DataFrame) -> dict[str, DataFrame]:
     """``lines``, ``bridge`` and ``objects`` of a table with columns line_no and raw (others are ignored)."""
-    nodes = materialize(runs.select("line_no", "raw").where("line_no is not null and raw is not null").mapInPandas(_parse, NODES), "nested")
+    nodes = materialize(spread(runs.select("line_no", "raw").where("line_no is not null and raw is not null")).mapInPandas(_parse, NODES), "nested")
     lines = nodes.where("kind = 'record'").select("line_no", "chunk_id", F.col("hash").alias("record_hash"))
     # equal subtrees arrive once per occurrence; both groupings combine on the map side, so a record that
     # makes up a third of all lines costs one row per task
