@@ -48,24 +48,46 @@ def _remove_local(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+_RUN = f"kgspark-{os.getpid()}-{uuid.uuid4().hex[:8]}"
+_stages: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here and survives executor loss."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kgspark-{os.getpid()}-{name}-{uuid.uuid4().hex[:12]}"
+    run = f"{shared_dir(spark)}/{_RUN}"
+    if run not in _stages:
+        _stages[run] = spark
+        atexit.register(drop_stages)
+    path = f"{run}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages() -> None:
+    """Delete the stages of this process; results that still read from them must have been written before."""
+    for run, spark in list(_stages.items()):
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(run)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+        _stages.pop(run, None)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder: ``<dir>/<name>.parquet`` (a file or a folder of files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input has fewer splits than there are cores (a few small files).
+    """A scan over all cores where its input has fewer splits than there are cores (a few small files).
 
-    Inputs with enough splits pass unchanged, so nothing is shuffled at scale.
+    Inputs with enough splits pass unchanged, so nothing is shuffled at scale; so does anything behind an
+    exchange, whose partitions are not known before it has run.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
