@@ -95,7 +95,7 @@ def quota_sample(items: DataFrame, targets: DataFrame, seed: int = 42) -> dict[s
     # one row per target: bounded by MAX_TARGETS, so the broadcast is too
     sample = ranked.join(F.broadcast(plan_df.select("plan_id", "pool", "category", "target_permille", "seats")), ["pool", "category"]).where("rank <= seats")
     sample = sample.select("plan_id", "pool", "category", "item", "rank", F.try_divide(F.col("rank") - 0.5, F.col("target_permille").cast("double")).alias("priority"))
-    need = F.greatest(F.col("min_rows").cast("bigint"), F.ceil(F.col("target_permille").cast("bigint") * F.col("sample_size") / F.lit(1000)))
+    need = F.greatest(F.col("min_rows").cast("bigint"), F.expr("(bigint(target_permille) * sample_size + 999) div 1000"))
     drawn = sample.groupBy("plan_id", "pool", "category").agg(F.count(F.lit(1)).alias("drawn"))
     report = plan_df.withColumn("needed", need).join(drawn, ["plan_id", "pool", "category"], "left")
     report = report.withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("short", (F.col("available") < F.col("needed")) & (F.col("drawn") <= F.col("available")))
