@@ -20,12 +20,18 @@ NO_MATCH = "No entity of the graph matches this question."
 MAX_WORDS = 8
 
 
-def select_by_words(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(question_id, pos, key, name, type): entities whose key is a phrase of the question, in order of appearance."""
+def select_by_words(questions: DataFrame, nodes: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(question_id, pos, key, name, type): entities whose key is a phrase of the question, in order of appearance.
+
+    ``synonyms`` (phrase, key) adds phrases that stand for an entity.
+    """
     words = F.split(F.trim(F.regexp_replace(key_form("question"), r"[^\p{L}\p{N}\s'()/.-]", " ")), r"\s+")
     q = questions.select("question_id", F.transform(words, lambda x: F.regexp_replace(x, r"[.]+$", "")).alias("w"))
     at = q.select("question_id", "w", F.posexplode("w").alias("pos", "x"))
     grams = at.select("question_id", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.lit(MAX_WORDS)), lambda n: F.when(F.col("pos") + n <= F.size("w"), F.array_join(F.slice("w", F.col("pos") + 1, n), " ")))).alias("key")).where("key is not null")
+    if synonyms is not None:
+        other = grams.withColumnRenamed("key", "phrase").join(synonyms.select(key_form("phrase").alias("phrase"), key_form("key").alias("key")), "phrase")
+        grams = grams.unionByName(other.select(grams.columns))
     hit = grams.join(nodes, "key").groupBy("question_id", "key", "name", "type").agg(F.min("pos").alias("pos"))
     return hit.select("question_id", "pos", "key", "name", "type")
 
