@@ -73,6 +73,8 @@ def quota_sample(items: DataFrame, targets: DataFrame, seed: int = 42) -> dict[s
     spark = items.sparkSession
     pool = items.select("pool", "category", "item").where("pool is not null and category is not null and item is not null")
     wanted = targets.select("pool", "category").distinct()
+    if wanted.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     pool = materialize(pool.join(F.broadcast(wanted), ["pool", "category"], "left_semi").distinct(), "quota-items")
     counts = pool.groupBy("pool", "category").agg(F.count(F.lit(1)).alias("available"))
     rows = (

@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, seed: int = 7) -> dict[str, DataFrame]:
     near = materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "residue-near")
     ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
     # the texts of the smallest ids of these classes; an id that stands for several texts brings them all
-    wanted = classes.join(ids, "cid", "left_semi").select("doc_id").distinct()
+    # as a table of its own its size is known, so the texts are only shuffled if it is too large to broadcast
+    wanted = materialize(classes.join(ids, "cid", "left_semi").select("doc_id").distinct(), "residue-wanted")
     sets = rows.join(wanted, "doc_id", "left_semi").where("text is not null").mapInPandas(_shingle_rows, "text_hash string, s array<int>")
     sets = materialize(sets.withColumn("cid", F.xxhash64("text_hash")).dropDuplicates(["cid"]).select("cid", "s"), "residue-sets")
     both = near.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
