@@ -13,7 +13,7 @@ HOT_SHARE_PERCENT = 1
 
 
 def p3_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Per entity key and per chunk_id: mentions, records, types, mode type, record sizes, first and last time."""
+    """Per entity key and per chunk_id: mentions, records, types, mode type, record sizes, first and last time (microseconds)."""
     ex = read_table(spark, sf, "extractions").select("seq", "chunk_id", "entities", "extracted_at")
     keys = ["key_kind", "key_value"]
     items = ex.select("seq", "chunk_id", "extracted_at", F.explode("entities").alias("e"))
@@ -36,7 +36,8 @@ def p3_keys(spark: SparkSession, sf: str) -> DataFrame:
     types = skew.weighted_profile(ent.select(*keys, "type").unionByName(chunk_types), keys, "type")
     types = types.select(*keys, F.col("distinct_values").alias("types"), F.col("mode_value").alias("top_type"))
     out = per_record.join(types, keys, "left")
-    return out.withColumn("types", F.coalesce("types", F.lit(0).cast("bigint")))
+    times = {c: F.unix_micros(c) for c in ("first_at", "last_at")}
+    return out.withColumns(times | {"types": F.coalesce("types", F.lit(0).cast("bigint"))})
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +94,7 @@ ent AS (SELECT 'entity' AS key_kind, ek AS key_value, seq, type, extracted_at FR
 rec AS (SELECT key_kind, key_value, seq, count(*) AS mentions, min(extracted_at) AS lo, max(extracted_at) AS hi FROM ent GROUP BY ALL
   UNION ALL SELECT 'chunk', chunk_id, seq, coalesce(len(entities), 0), extracted_at, extracted_at FROM extractions WHERE chunk_id IS NOT NULL),
 a AS (SELECT key_kind, key_value, sum(mentions)::BIGINT AS mentions, count(*) AS records, median(mentions) AS median_per_record,
-  max(mentions) AS max_per_record, min(lo) AS first_at, max(hi) AS last_at FROM rec GROUP BY ALL),
+  max(mentions) AS max_per_record, epoch_us(min(lo)) AS first_at, epoch_us(max(hi)) AS last_at FROM rec GROUP BY ALL),
 tc AS (SELECT key_kind, key_value, type, count(*) AS n FROM (SELECT key_kind, key_value, type FROM ent UNION ALL
   SELECT 'chunk', chunk_id, type FROM m WHERE chunk_id IS NOT NULL) WHERE type IS NOT NULL GROUP BY ALL),
 t AS (SELECT key_kind, key_value, count(*) AS types, arg_min(type, (-n, type)) AS top_type FROM tc GROUP BY ALL)

@@ -673,7 +673,7 @@ def subparagraph_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_L + """, k AS (SELECT n.doc_id, i, CASE WHEN n.doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END AS p FROM n WHERE i <= 60)
-SELECT doc_id, i AS n, 7 + sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 1 AS start FROM k""")
+SELECT doc_id, i AS n, (7 + sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 1)::BIGINT AS start FROM k""")
 def next_marker_span(spark: SparkSession, sf: str) -> DataFrame:
     """Offsets of all markers."""
     pattern = r"(?:(?<=\s)|^)(?:(?=\d{1,2}\.\s)|\((?=\d{1,2}\)\s))(\d{1,2})[.)]\s+"
