@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import text as T
 from kgspark.operators import analytics, chunking, evaluate, extract, graph, ingest, rag
 from kgspark.plans.problems import sql_key
-from kgspark.session import read_table
+from kgspark.session import read_table, spread
 from kgspark.sources import files
 
 QUERIES: dict = {}
@@ -586,14 +586,15 @@ o AS (SELECT seq, CASE WHEN length(f.c) > 0 THEN list_append(f.o, {_strip("f.c")
 SELECT seq, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM o""")
 def sentence_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences packed into parts of at most 1,000 characters."""
-    c = _t(spark, sf, "chunks").where(F.length("text") > 0).select("seq", F.posexplode(chunking.pack_sentences(F.col("text"), 1000)).alias("pos", "part"))
+    c = spread(_t(spark, sf, "chunks").where(F.length("text") > 0).select("seq", "text"))
+    c = c.select("seq", F.posexplode(chunking.pack_sentences(F.col("text"), 1000)).alias("pos", "part"))
     return c.select("seq", F.col("pos").cast("bigint").alias("pos"), "part")
 
 
 @query()
 def chunk_unit(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks re-cut: sub-paragraphs, then packed sentences."""
-    c = _t(spark, sf, "chunks").where("text is not null").select("seq", "text")
+    c = spread(_t(spark, sf, "chunks").where("text is not null").select("seq", "text"))
     return chunking.chunk_units(c, ["seq"], "text")
 
 
@@ -606,7 +607,7 @@ n AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM l
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     clean = F.translate("text", "()_0123456789", "[]-abcdefghij")
     lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: T.collapse_ws(x)), lambda x: x != "")
-    return _t(spark, sf, "documents").where("text is not null").select("doc_id", "source", lines.alias("l"))
+    return spread(_t(spark, sf, "documents").where("text is not null").select("doc_id", "source", "text")).select("doc_id", "source", lines.alias("l"))
 
 
 def _acts(spark: SparkSession, sf: str) -> DataFrame:
