@@ -14,8 +14,9 @@ quotes belong to the sentence they close; nothing inside a quotation is split of
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,29 +199,43 @@ def sentence_starts(text: str | None, lang: str | None = None) -> list[int]:
     return starts
 
 
-_SEGMENT_TYPE = T.StructType([T.StructField("lang", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])
-
-
-@F.pandas_udf(_SEGMENT_TYPE)
-def _segment(texts: pd.Series) -> pd.DataFrame:
-    langs, starts = [], []
-    for t in texts:
-        lang = detect_language(t) if isinstance(t, str) and t else None
-        langs.append(lang)
-        starts.append(sentence_starts(t, lang) if lang else [])
-    return pd.DataFrame({"lang": langs, "starts": starts})
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, langs, number, start, end, units = [], [], [], [], [], []
+        for row, text in enumerate(b.column(1).to_pylist()):
+            if not text:
+                continue
+            lang = detect_language(text)
+            starts = sentence_starts(text, lang)
+            for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(text)], strict=True)):
+                unit = text[s:e].rstrip()
+                at.append(row)
+                langs.append(lang)
+                number.append(k)
+                start.append(s + 1)
+                end.append(s + len(unit))
+                units.append(unit)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(at, pa.int64())), pa.array(langs, pa.string()), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(units, pa.string())],
+            names=["id", "lang", "sentence_no", "start_pos", "end_pos", "sentence"],
+        )
 
 
 def sentence_units(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, lang, sentence_no, start_pos, end_pos, sentence); positions count characters from 1, ends inclusive.
 
-    Row-local: no shuffle unless the input has fewer splits than there are cores.  Repeated ids give the sentences of every row.
+    Row-local: no shuffle unless the input has fewer splits than there are cores.  A text crosses to Python and
+    its sentences come back once; the work is linear in its length.  Repeated ids give the sentences of every row.
     """
-    seg = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("length(_t) > 0")
-    seg = spread(seg).withColumn("_s", _segment("_t"))
-    at = seg.select("_id", "_t", "_s.lang", F.col("_s.starts").alias("_st"), F.posexplode("_s.starts").alias("sentence_no", "_a"))
-    nxt = F.coalesce(F.try_element_at("_st", F.col("sentence_no") + 2), F.length("_t"))
-    raw = F.substring("_t", F.col("_a") + 1, nxt - F.col("_a"))
-    text = F.regexp_replace(raw, r"(?U)\s+$", "")
-    out = at.select(F.col("_id").alias(id_col), "lang", "sentence_no", (F.col("_a") + 1).alias("start_pos"), text.alias("sentence"))
-    return out.withColumn("end_pos", F.col("start_pos") + F.length("sentence") - 1)
+    schema = T.StructType([
+        T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("lang", T.StringType()), T.StructField("sentence_no", T.IntegerType()),
+        T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()), T.StructField("sentence", T.StringType()),
+    ])
+    texts = spread(rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("length(_t) > 0"))
+    own = schema[0].name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _unit_rows(batches):
+            yield b.rename_columns([own, *b.schema.names[1:]])
+
+    return texts.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,11 +135,15 @@ def _range_candidates(windows: pd.Series, first: pd.Series, lo: pd.Series, hi: p
 def text_ranges(rows: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HALO) -> DataFrame:
     """(id, r, n, lo, hi, first, window) for rows of (id, text): each range with its halos; lo/hi are 0-based."""
     n = F.length("text").cast("long")
-    r = rows.select("id", "text", n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / range_chars).cast("int"))).alias("r"))
-    lo = F.col("r").cast("long") * range_chars
-    hi = F.least(lo + range_chars, "n")
-    first = F.greatest(lo - halo, F.lit(0))
-    return r.select("id", "r", "n", lo.alias("lo"), hi.alias("hi"), first.alias("first"), F.substring("text", (first + 1).cast("int"), (hi + halo - first).cast("int")).alias("window"))
+
+    def window(r: Column) -> Column:
+        lo = r.cast("long") * range_chars
+        first, hi = F.greatest(lo - halo, F.lit(0)), F.least(lo + range_chars, n)
+        return F.struct(r.alias("r"), lo.alias("lo"), hi.alias("hi"), first.alias("first"), F.substring("text", (first + 1).cast("int"), (hi + halo - first).cast("int")).alias("window"))
+
+    # the windows are cut before the explode: exploding first would copy the whole text once per range
+    cut = rows.select("id", n.alias("n"), F.transform(F.sequence(F.lit(0), ((n - 1) / range_chars).cast("int")), window).alias("w"))
+    return cut.select("id", "n", F.explode("w").alias("w")).select("id", "n", "w.*").select("id", "r", "n", "lo", "hi", "first", "window")
 
 
 def range_boundaries(ranges: DataFrame) -> DataFrame:
