@@ -681,18 +681,26 @@ def next_marker_span(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.marks(_numbered(spark, sf), ["doc_id"], "text", pattern).select("doc_id", "n", "start")
 
 
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.parse_documents(_acts(spark, sf).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("celex"), "text"))
+
+
 @query(_L + """, u AS (SELECT doc_id, 'recital' AS chunk_type, i AS unit_number, NULL AS heading, line || CASE WHEN i % 3 = 0 THEN ' (99) See Council Directive (OJ L 95, p. 29).' ELSE '' END AS text FROM n
 UNION ALL SELECT doc_id, 'article', i, 'Heading ' || i, '1. ' || line FROM n)
 SELECT 'D' || doc_id || '_' || chunk_type || '_' || unit_number || '_0' AS chunk_id, 'D' || doc_id AS celex, chunk_type, unit_number, heading, text FROM u WHERE length(text) <= 2000""")
 def chunk_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """Acts parsed and chunked; units over the limit, which are cut further, are left to ``chunk_unit``."""
-    docs = ingest.parse_documents(_acts(spark, sf).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("celex"), "text"))
-    short = docs.select("celex", "title", F.filter("recitals", lambda x: F.length(x) <= 2000).alias("recitals_"), "*").drop("recitals_")
-    out = chunking.chunk_documents(short)
+    """The units of acts that need no cut, which SQL can follow; ``chunk_documents`` has all units."""
+    out = chunking.chunk_documents(_parsed(spark, sf))
     units = out.groupBy("celex", "chunk_type", "unit_number").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("m")).where("n = 1")
     return out.join(units, ["celex", "chunk_type", "unit_number"], "left_semi").where(F.length("text") <= 2000).select("chunk_id", "celex", "chunk_type", "unit_number", "heading", "text")
 
 
+@query()
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Acts parsed and chunked, every unit with all its parts."""
+    return chunking.chunk_documents(_parsed(spark, sf))
+
+
 # --- model-side helpers
 @query(f"""SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, CASE WHEN len(a) = 1 AND a[1] = 'NONE' THEN [] ELSE a END AS a FROM (
 SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN doc_id % 7 = 0 THEN ' NONE ' || chr(10) ELSE text END, chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS a FROM documents))""")
