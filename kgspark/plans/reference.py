@@ -658,17 +658,29 @@ def footnote_runs(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.footnote_runs(_footnoted(spark, sf), ["doc_id", "i"], "text").select("doc_id", "i", "n_marks", "first_n", "start")
 
 
-def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text): up to 60 lines as 'Intro. 1. a 2. b ...' or '(1) a (2) b ...' (markers have two digits at most)."""
+_MARKER = r"(?:(?<=\s)|^)(?:(?=\d{1,2}\.\s)|\((?=\d{1,2}\)\s))(\d{1,2})[.)]\s+"
+
+
+def _numbered(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+    """(doc_id, text): all lines, or the first ``most``, as 'Intro. 1. a 2. b ...' or '(1) a (2) b ...'."""
     mark = lambda i: F.when(F.col("doc_id") % 2 == 0, F.concat((i + 1).cast("string"), F.lit(". "))).otherwise(F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") ")))
-    parts = F.transform(F.slice("l", 1, 60), lambda x, i: F.concat(mark(i), x))
+    parts = F.transform(F.col("l") if most is None else F.slice("l", 1, most), lambda x, i: F.concat(mark(i), x))
     return _lines(spark, sf).select("doc_id", F.concat(F.lit("Intro. "), F.array_join(parts, " ")).alias("text"))
 
 
 @query(_L + """, k AS (SELECT doc_id, len(l) AS k, l FROM l), m AS (SELECT n.doc_id, i - 1 AS part, CASE WHEN n.doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END AS text FROM n JOIN k ON n.doc_id = k.doc_id WHERE k >= 2 AND i <= 60)
 SELECT doc_id, part, text FROM m UNION ALL SELECT doc_id, 0, rtrim('Intro. ' || CASE WHEN k = 0 THEN '' WHEN doc_id % 2 = 0 THEN '1. ' || l[1] ELSE '(1) ' || l[1] END) FROM k WHERE k < 2""")
 def subparagraph_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered sub-paragraphs; a text with fewer than two stays whole."""
+    """Numbered sub-paragraphs of the first 60 lines, as its SQL has them; ``subparagraph_split_all`` reads all lines."""
+    out = chunking.subparagraphs(_numbered(spark, sf, 60), ["doc_id"], "text")
+    return out.select("doc_id", "part", F.rtrim("text").alias("text"))
+
+
+@query(_L + """, m AS (SELECT doc_id, least(i, 99) - 1 AS part, string_agg(CASE WHEN doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END, ' ' ORDER BY i) AS text FROM n GROUP BY ALL)
+SELECT m.doc_id, part, text FROM m JOIN l ON m.doc_id = l.doc_id WHERE len(l) >= 2
+UNION ALL SELECT doc_id, 0, rtrim('Intro. ' || CASE WHEN len(l) = 0 THEN '' WHEN doc_id % 2 = 0 THEN '1. ' || l[1] ELSE '(1) ' || l[1] END) FROM l WHERE len(l) < 2""")
+def subparagraph_split_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered sub-paragraphs of whole documents; markers have two digits, so what follows 99 stays in the last part."""
     out = chunking.subparagraphs(_numbered(spark, sf), ["doc_id"], "text")
     return out.select("doc_id", "part", F.rtrim("text").alias("text"))
 
@@ -676,9 +688,15 @@ def subparagraph_split(spark: SparkSession, sf: str) -> DataFrame:
 @query(_L + """, k AS (SELECT n.doc_id, i, CASE WHEN n.doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END AS p FROM n WHERE i <= 60)
 SELECT doc_id, i AS n, (7 + sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 1)::BIGINT AS start FROM k""")
 def next_marker_span(spark: SparkSession, sf: str) -> DataFrame:
-    """Offsets of all markers."""
-    pattern = r"(?:(?<=\s)|^)(?:(?=\d{1,2}\.\s)|\((?=\d{1,2}\)\s))(\d{1,2})[.)]\s+"
-    return ingest.marks(_numbered(spark, sf), ["doc_id"], "text", pattern).select("doc_id", "n", "start")
+    """Offsets of the markers of the first 60 lines, as its SQL has them; ``next_marker_span_all`` reads all lines."""
+    return ingest.marks(_numbered(spark, sf, 60), ["doc_id"], "text", _MARKER).select("doc_id", "n", "start")
+
+
+@query(_L + """, k AS (SELECT doc_id, i, CASE WHEN doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END AS p FROM n)
+SELECT doc_id, n, start FROM (SELECT doc_id, i AS n, (7 + sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 1)::BIGINT AS start FROM k) WHERE n <= 99""")
+def next_marker_span_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Offsets of all markers of whole documents; a number of three digits is no marker."""
+    return ingest.marks(_numbered(spark, sf), ["doc_id"], "text", _MARKER).select("doc_id", "n", "start")
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:

@@ -48,3 +48,20 @@ def test_chunk_documents_cuts_long_units(spark, tmp_path, long_acts):
             want |= {f"D{doc_id}_{k}_{i}_{p}": t for k, u in units.items() for p, t in enumerate(cut(u))}
     assert got == want
     assert sum(not k.endswith("_0") for k in got) >= 4
+
+
+def test_sub_paragraphs_beyond_the_sixtieth_line(spark, tmp_path):
+    size = {2: 130, 3: 61, 4: 99, 5: 100, 6: 2, 7: 1}
+    lines = {d: [f"line {'abc'[i % 3] * (i + 1)}" for i in range(n)] for d, n in size.items()}
+    sf = documents(spark, tmp_path, [(d, "s", "\n".join(x)) for d, x in lines.items()])
+    parts, spans = {}, {}
+    for d, x in lines.items():
+        marked = [f"{i}. {s}" if d % 2 == 0 else f"({i}) {s}" for i, s in enumerate(x, 1)]
+        text, at = "Intro. " + " ".join(marked), 7
+        for i, m in enumerate(marked[:99], 1):
+            spans[(d, i)] = at
+            at += len(m) + 1
+        kept = [*marked[:98], " ".join(marked[98:])] if len(marked) > 98 else marked
+        parts |= {(d, p): s for p, s in enumerate(kept)} if len(marked) > 1 else {(d, 0): text}
+    assert {(r["doc_id"], r["part"]): r["text"] for r in reference.QUERIES["subparagraph_split_all"](spark, sf).collect()} == parts
+    assert {(r["doc_id"], r["n"]): r["start"] for r in reference.QUERIES["next_marker_span_all"](spark, sf).collect()} == spans
