@@ -5,7 +5,8 @@ boundary candidates that lie inside the range and emits them as a table of offse
 ranges are stitched: numbered markers are confirmed against their neighbours across ranges, every range is
 given the first boundary of the range that follows it, pieces are planned per range between those anchors,
 and a prefix sum over the ranges numbers them.  Pieces are emitted by offset.  No worker holds a whole
-file: ``split_files`` reads byte ranges; ``split_rows`` works on texts that already sit in a table.
+file: ``split_files`` scans byte ranges and ``split_file_pieces`` carries its table through to the pieces;
+``split_rows`` works on texts that already sit in a table.
 
 Defined results: texts at or under the limit, NULL and empty texts give no piece (they need no cut).
 Rows are told apart by id and text: equal rows are split once, an id with two
@@ -20,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.llm.sentences import MAX_QUOTE, sentence_starts
+from kgspark.session import materialize
 
 MAX_CHARS, OVERLAP = 2000, 200
 RANGE_CHARS = 32_768
@@ -149,13 +152,18 @@ def text_ranges(rows: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HAL
 def range_boundaries(ranges: DataFrame) -> DataFrame:
     """The boundary table: one row per confirmed boundary (id, r, pos, kind), stitched over the ranges."""
     found = ranges.select("id", "r", F.explode(_range_candidates("window", "first", "lo", "hi")).alias("c")).select("id", "r", "c.*")
+    return confirmed_boundaries(found).select("id", "r", "pos", "kind")
+
+
+def confirmed_boundaries(found: DataFrame) -> DataFrame:
+    """Candidates (id, r, pos, kind, style, number, ...) of all ranges; a marker without its neighbours becomes a sentence."""
     by_style = W.partitionBy("id", "style").orderBy("pos")
     near = lambda d: F.coalesce((F.lag("number").over(by_style) == F.col("number") - d) | (F.lead("number").over(by_style) == F.col("number") + d), F.lit(False))
     alone = F.lag("number").over(by_style).isNull() & F.lead("number").over(by_style).isNull()
     marked = found.where("kind = 'paragraph'")
     confirmed = (F.col("style") == "multi") | near(1) | near(2) | (alone & (F.col("style") != "letter"))
     marked = marked.withColumn("ok", confirmed).withColumn("kind", F.when(F.col("ok"), F.col("kind")).otherwise(F.lit(SENTENCE))).drop("ok")
-    return found.where("kind <> 'paragraph'").unionByName(marked).select("id", "r", "pos", "kind")
+    return found.where("kind <> 'paragraph'").unionByName(marked)
 
 
 _RANK = {BLANK: 0, PARAGRAPH: 0, ITEM: 0, SENTENCE: 1}
@@ -255,38 +263,119 @@ def file_ranges(spark: SparkSession, paths: list[tuple[str, int]], range_bytes:
     return rows.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(((F.col("size") - 1) / range_bytes).cast("int"), F.lit(0)))).alias("r"))
 
 
+def _read_window(path: str, lo: int, hi: int, halo: int) -> tuple[int, str]:
+    """(byte offset, text) of the whole code points between lo - halo and hi + halo."""
+    at = max(0, lo - halo)
+    with open(path, "rb") as f:
+        f.seek(at)
+        raw = f.read(hi + halo - at)
+    skip = next((i for i in range(min(4, len(raw))) if raw[i] & 0xC0 != 0x80), 0)
+    return at + skip, raw[skip:].decode("utf-8", errors="ignore")
+
+
 def split_files(
     spark: SparkSession, paths: list[tuple[str, int]], range_bytes: int = 1 << 20, halo_bytes: int = 8192
 ) -> DataFrame:
-    """Boundary table (path, r, byte_pos, char_len, kind) of UTF-8 files on a file system all workers mount.
+    """Candidate table (path, r, chars, byte_pos, char_at, kind, style, number) of UTF-8 files on a file system all workers mount.
 
     A worker opens the file, seeks to its range minus the halo and reads range plus halos; it never holds
     more.  Cut code points at the edges are skipped.  ``chars`` (code points of the range) prefix-sums to
-    character offsets without a second read.
+    character offsets without a second read; ``char_at`` counts from the first code point of the range.  The
+    row with ``chars`` tells where the range may be entered if it has no boundary: behind white space.
     """
-    schema = "path string, r int, chars bigint, byte_pos bigint, kind string, style string, number int"
+    schema = "path string, r int, chars bigint, byte_pos bigint, char_at bigint, kind string, style string, number int, entry_byte bigint, entry_at bigint"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, size, r in zip(pdf["path"], pdf["size"], pdf["r"], strict=True):
                 lo, hi = r * range_bytes, min((r + 1) * range_bytes, size)
-                at = max(0, lo - halo_bytes)
-                with open(path, "rb") as f:
-                    f.seek(at)
-                    raw = f.read(hi + halo_bytes - at)
-                skip = next((i for i in range(min(4, len(raw))) if raw[i] & 0xC0 != 0x80), 0)
-                text = raw[skip:].decode("utf-8", errors="ignore")
-                offsets, n = {}, at + skip
+                n, text = _read_window(path, lo, hi, halo_bytes)
                 wanted = {c.pos: c for c in candidates(text)}
-                chars = 0
+                found, chars, first, entry, before = [], 0, None, None, ""
                 for i, ch in enumerate(text):
-                    if i in wanted:
-                        offsets[i] = n
-                    chars += lo <= n < hi
+                    if lo <= n < hi:
+                        first = n if first is None else first
+                        if entry is None and n < lo + halo_bytes // 2 and before.isspace() and not ch.isspace():
+                            entry = (n, chars)
+                        if c := wanted.get(i):
+                            found.append((path, r, None, n, chars, c.kind, c.style, c.number, None, None))
+                        chars += 1
+                    before = ch
                     n += len(ch.encode())
-                rows.append((path, r, chars, None, None, None, None))
-                rows += [(path, r, None, offsets[i], c.kind, c.style, c.number) for i, c in sorted(wanted.items()) if lo <= offsets[i] < hi]
+                entry = entry or (hi if first is None else first, 0)
+                rows += [(path, r, chars, None, None, None, None, None, *entry), *found]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return file_ranges(spark, paths, range_bytes).mapInPandas(scan, schema)
+
+
+_PLANNED = "path string, r int, k int, start_pos bigint, new_pos bigint, end_pos bigint, start_byte bigint, end_byte bigint"
+
+
+def _plan_files(range_bytes: int, halo_bytes: int, max_chars: int, overlap: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for x in pdf.itertuples(index=False):
+                lo, hi = x.r * range_bytes, min((x.r + 1) * range_bytes, x.size)
+                at, text = _read_window(x.path, lo, hi, halo_bytes)
+                sizes = np.fromiter((len(ch.encode()) for ch in text), dtype=np.int64, count=len(text))
+                byte = at + np.concatenate(([0], np.cumsum(sizes)))
+                base = int(x.c0) - int(np.searchsorted(byte, lo))
+                marks = sorted((int(m["pos"]), _RANK[m["kind"]]) for m in x.m)
+                for k, (start, core, end) in enumerate(plan_pieces(int(x.a), int(x.b), marks, text, base, max_chars, overlap)):
+                    rows.append((x.path, x.r, k, start + 1, core + 1, end, int(byte[start - base]), int(byte[end - base])))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PLANNED.split(", ")])
+
+    return run
+
+
+@F.pandas_udf(T.StringType())
+def _read_piece(path: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    out = []
+    for p, a, b in zip(path, start, end, strict=True):
+        with open(p, "rb") as f:
+            f.seek(a)
+            out.append(f.read(b - a).decode("utf-8"))
+    return pd.Series(out)
+
+
+def split_file_pieces(
+    spark: SparkSession, paths: list[tuple[str, int]], range_bytes: int = 1 << 20, halo_bytes: int = 4 * HALO,
+    max_chars: int = MAX_CHARS, overlap: int = OVERLAP,
+) -> dict[str, DataFrame]:
+    """``boundaries`` (path, pos from 1, byte_pos, kind) and ``pieces`` (path, piece_no, start_pos, new_pos, end_pos, piece).
+
+    The same as ``split_rows`` for valid UTF-8 files: candidates of the ranges are confirmed across ranges, their
+    code points prefix-summed, pieces planned per range and read by byte offset.  Files of up to ``max_chars``
+    characters give no piece.  A range without a boundary at its head is entered behind white space.
+    """
+    if not 0 <= overlap < max_chars or halo_bytes < 4 * max_chars or range_bytes < 4:
+        raise ValueError("overlap must be under the limit, the halo hold the limit in bytes and a range a code point")
+    scanned = materialize(split_files(spark, paths, range_bytes, halo_bytes), "file-candidates")
+    by_file = W.partitionBy("path").orderBy("r")
+    base = scanned.where("chars is not null").select("path", "r", "chars", "entry_byte", "entry_at")
+    base = base.withColumn("c0", F.coalesce(F.sum("chars").over(by_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    base = base.withColumn("n", F.sum("chars").over(W.partitionBy("path"))).where(F.col("n") > max_chars)
+    found = scanned.where("chars is null").select(F.col("path").alias("id"), "r", F.col("byte_pos").alias("pos"), "char_at", "kind", "style", "number")
+    marks = confirmed_boundaries(found).select(F.col("id").alias("path"), "r", F.col("pos").alias("byte_pos"), "char_at", "kind")
+    marks = marks.join(base.select("path", "r", "c0"), ["path", "r"]).select("path", "r", "byte_pos", (F.col("c0") + F.col("char_at")).alias("pos"), "kind")
+    marks = materialize(marks, "file-boundaries")
+    per = marks.groupBy("path", "r").agg(F.sort_array(F.collect_list(F.struct("pos", "byte_pos", "kind"))).alias("m"))
+    seg = base.join(per, ["path", "r"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:bigint,byte_pos:bigint,kind:string>>")))
+    # stitch: a range is planned from its own first boundary to that of the next range
+    near_lo = F.filter("m", lambda x: x["byte_pos"] < F.col("r").cast("long") * range_bytes + halo_bytes // 2)
+    head = F.coalesce(F.try_element_at(F.transform(near_lo, lambda x: x["pos"]), F.lit(1)), F.col("c0") + F.col("entry_at"))
+    seg = seg.withColumn("a", F.when(F.col("r") == 0, F.lit(0).cast("long")).otherwise(head))
+    seg = seg.withColumn("b", F.coalesce(F.lead("a").over(by_file), F.col("n")))
+    sizes = spark.createDataFrame(paths, "path string, size bigint").distinct()
+    todo = seg.join(sizes, "path").select("path", "size", "r", "c0", "a", "b", "m")
+    planned = materialize(todo.mapInPandas(_plan_files(range_bytes, halo_bytes, max_chars, overlap), _PLANNED), "file-plan")
+    counts = planned.groupBy("path", "r").agg(F.count(F.lit(1)).alias("k1"))
+    first = counts.select("path", "r", F.coalesce(F.sum("k1").over(by_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("k0"))
+    pieces = planned.join(first, ["path", "r"]).select(
+        "path", (F.col("k0") + F.col("k")).cast("int").alias("piece_no"), "start_pos", "new_pos", "end_pos",
+        _read_piece("path", "start_byte", "end_byte").alias("piece"),
+    )
+    return {"boundaries": marks.select("path", (F.col("pos") + 1).alias("pos"), "byte_pos", "kind"), "pieces": pieces}
