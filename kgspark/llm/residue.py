@@ -7,8 +7,9 @@
    follows the number of classes so that buckets keep their size, and the number of tables follows from the
    bits so that a pair of similarity 0.8 meets with probability ``RECALL``.
 4. Pairs within the Hamming radius are verified by the Jaccard similarity of their shingles (0.8 or more).
-5. Connected components of the verified pairs carry the trusted labels; a member is residue if it is
-   trusted itself or shows a hint in a component (or class) that holds a trusted one.
+5. Connected components of the verified pairs carry the trusted labels: a member of a component (or class) that
+   holds a trusted one is residue unless none of the component's residue passages is left in it, a quarter of
+   a passage's characters being wrong at most, and it shows no hint either.
 
 Defined results: rows without an id are left out; NULL, empty and blank texts are no residue and have no near-duplicates; texts shorter than
 five words are one shingle; scripts without spaces are shingled by character.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,6 +155,49 @@ def _unfilled(text: str) -> bool:
     return bool(_PLACEHOLDER.search(_QUOTED.sub(" ", flat)))
 
 
+#: A passage is compared in pieces of at most so many characters, white space left out.
+PASSAGE_PIECE = 64
+
+
+def _squeeze(text: str) -> str:
+    return "".join(text.split())
+
+
+def passages(text: str, norm: str) -> list[str]:
+    """The passages that make a text trusted, normalised, without white space, in pieces of ``PASSAGE_PIECE``."""
+    found = [p for p in PHRASES if p in norm]
+    for rx in (_SCRIPT, _FILLER, _CODE, _PREDICATE):
+        found += [m.group() for m in rx.finditer(norm)]
+    parts = norm.rstrip(".").split(". ")
+    found += [f"{a}. {b}. {c}" for a, b, c in zip(parts, parts[1:], parts[2:], strict=False) if a == b == c and _PLAIN.fullmatch(a)]
+    flat = " ".join(text.replace("\u00ad ", "").split())
+    found += [normalise(m.group()) for m in _PLACEHOLDER.finditer(_QUOTED.sub(" ", flat))]
+    out = set()
+    for p in map(_squeeze, found):
+        n = -(-len(p) // PASSAGE_PIECE)
+        out |= {p[i * len(p) // n : (i + 1) * len(p) // n] for i in range(n)}
+    return sorted(out)
+
+
+def holds_passage(text: str, wanted: list[str]) -> bool:
+    """Whether a text that is not trusted itself holds one of the passages, damaged in a quarter of its characters at most.
+
+    Of k + 1 parts of a passage one survives k errors unchanged, so only the places where a part occurs are compared.
+    """
+    squeezed = _squeeze(normalise(_QUOTED.sub(" ", text)))
+    for p in wanted:
+        k = len(p) // 4
+        rx = regex.compile(f"(?:{regex.escape(p)}){{e<={k}}}")
+        for i in range(k + 1):
+            a, b = i * len(p) // (k + 1), (i + 1) * len(p) // (k + 1)
+            at = squeezed.find(p[a:b])
+            while at >= 0:
+                if rx.search(squeezed, max(0, at - a - k), min(at - a + len(p) + k, len(squeezed))):
+                    return True
+                at = squeezed.find(p[a:b], at + 1)
+    return False
+
+
 class _Words(dict):
     """Hashes of words, kept while the vocabulary is small."""
 
@@ -307,15 +352,56 @@ def representative_pairs(t: dict[str, DataFrame]) -> DataFrame:
     return t["pairs"].join(a, "a").join(b, "b").select("doc_a", "doc_b", "similarity")
 
 
-def find_residue(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, component, trusted, residue) for every row with text."""
-    t = near_duplicates(docs)
+def _passage_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        norms = [normalise(t) for t in pdf["text"]]
+        yield pd.DataFrame({"text_hash": [xxhash.xxh3_128_hexdigest(n) for n in norms], "passages": [passages(t, n) for t, n in zip(pdf["text"], norms, strict=True)]})
+
+
+def _hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"text_hash": [xxhash.xxh3_128_hexdigest(normalise(t)) for t in pdf["text"]], "text": pdf["text"]})
+
+
+def _damaged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"text_hash": pdf["text_hash"], "holds": [holds_passage(t, list(p)) for t, p in zip(pdf["text"], pdf["passages"], strict=True)]})
+
+
+def label_classes(docs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """(text_hash, doc_id, component, in_component, trusted, hint, holds) of every class; ``holds`` only where it decides."""
     comp = connected_components(t["pairs"], "a", "b")
     member = t["classes"].join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left")
     member = member.withColumn("component", F.coalesce("component", "cid"))
-    spread = member.groupBy("component").agg(F.max("trusted").alias("in_component"))
+    spread = member.groupBy("component").agg(F.max("trusted").alias("in_component"), F.min("hint").alias("all_hint"))
     # a component is a group of distinct texts; the label comes back by one row per component
-    label = hot_split_join(member, spread, "component")
-    label = label.select("text_hash", F.col("doc_id").alias("class_id"), "component", (F.col("in_component") & F.col("hint")).alias("residue"))
+    member = materialize(hot_split_join(member, spread, "component").select("text_hash", "doc_id", "component", "in_component", "all_hint", "trusted", "hint"), "residue-members")
+    mixed = member.where("in_component and not all_hint and (trusted or not hint)").select("text_hash", "doc_id", "component", "trusted")
+    mixed = materialize(mixed, "residue-mixed")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    texts = lambda trusted: rows.join(mixed.where(F.col("trusted") == trusted).select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    known = texts(True).mapInPandas(_passage_rows, "text_hash string, passages array<string>").dropDuplicates(["text_hash"])
+    known = known.join(mixed.where("trusted").select("text_hash", "component"), "text_hash").select("component", F.explode("passages").alias("p")).distinct()
+    known = materialize(known.groupBy("component").agg(F.sort_array(F.collect_list("p")).alias("passages")), "residue-passages")
+    asked = texts(False).mapInPandas(_hash_rows, "text_hash string, text string").dropDuplicates(["text_hash"])
+    asked = asked.join(mixed.where("not trusted").select("text_hash", "component"), "text_hash").join(known, "component")
+    holds = materialize(asked.select("text_hash", "text", "passages").mapInPandas(_damaged, "text_hash string, holds boolean"), "residue-holds")
+    return member.join(holds, "text_hash", "left").select("text_hash", "doc_id", "component", "in_component", "trusted", "hint", F.coalesce("holds", F.lit(False)).alias("holds"))
+
+
+def find_residue(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, component, trusted, residue) for every row with text."""
+    t = near_duplicates(docs)
+    label = label_classes(docs, t)
+    label = label.select("text_hash", F.col("doc_id").alias("class_id"), "component", (F.col("in_component") & (F.col("hint") | F.col("holds"))).alias("residue"))
     out = hot_split_join(t["signed"].where("text_hash is not null").select("doc_id", "text_hash", "trusted"), label, "text_hash")
     return out.select("doc_id", "class_id", "component", "trusted", "residue")
+
+
+def propagation_report(docs: DataFrame) -> DataFrame:
+    """One row of classes: trusted themselves, added by a hint or by a passage, removed for want of both."""
+    t = label_classes(docs, near_duplicates(docs)).where("in_component")
+    return t.agg(
+        F.count_if("trusted").alias("trusted"), F.count_if(F.expr("hint and not trusted")).alias("added_by_hint"),
+        F.count_if(F.expr("holds and not hint")).alias("added_by_passage"), F.count_if(F.expr("not hint and not holds")).alias("removed"),
+    )
