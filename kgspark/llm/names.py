@@ -17,6 +17,7 @@ spellings are one spelling; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ PRIOR_FORMS = 1000
 #: A longer text is no name.
 MAX_NAME = 300
 LINKAGE = 0.5
-#: Members up to which a component is clustered on the full matrix of one task.
+#: Members up to which the similar pairs of a component are found by comparing all; beyond, by shared deletions.
 MATRIX_MEMBERS = 1000
 
 # Words that make a name a body, with their abbreviations.
@@ -347,34 +348,103 @@ def average_linkage(sim: np.ndarray, threshold: float) -> list[int]:
     return label
 
 
+def sparse_linkage(n: int, sim: dict[tuple[int, int], float], threshold: float) -> list[int]:
+    """``average_linkage`` over the similar pairs (i < j) alone; a pair that is missing counts as 0.
+
+    Ties go to the smaller (i, j), as the first maximum of the matrix does.
+    """
+    total: list[dict[int, float]] = [{} for _ in range(n)]  # summed similarity to the other clusters
+    heap = []
+    for (i, j), v in sim.items():
+        total[i][j] = total[j][i] = v
+        heap.append((-v, i, j))
+    heapq.heapify(heap)
+    size, owner = [1] * n, list(range(n))
+    members = [[i] for i in range(n)]
+    while heap:
+        v, i, j = heapq.heappop(heap)
+        if -v < threshold:
+            break
+        if not size[i] or not size[j] or -v != total[i].get(j, 0.0) / (size[i] * size[j]):
+            continue
+        for k, x in total[j].items():
+            del total[k][j]
+            if k != i:
+                total[i][k] = total[k][i] = total[i].get(k, 0.0) + x
+        size[i], size[j], total[j] = size[i] + size[j], 0, {}
+        members[i] += members[j]
+        for x in members[j]:
+            owner[x] = i
+        for k, x in total[i].items():
+            heapq.heappush(heap, (-x / (size[i] * size[k]), min(i, k), max(i, k)))
+    return owner
+
+
+def _deletions(word: str, most: int = 2) -> set[str]:
+    """The word and what is left of it after up to ``most`` deletions; words within as many edits share one of them."""
+    found = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
+def similar_pairs(parsed: list[tuple]) -> dict[tuple[int, int], float]:
+    """All pairs (i < j) of similarity above 0; many forms meet by kind and a deletion they share, which loses none."""
+    n = len(parsed)
+    if n <= MATRIX_MEMBERS:
+        met = ((i, j) for i in range(n) for j in range(i + 1, n))
+        return {p: v for p in met if (v := checked_similarity(parsed[p[0]], parsed[p[1]])) > 0}
+    # equal names meet once; similar names are looked up among the distinct ones
+    by_names: dict[tuple, list[int]] = {}
+    for i, p in enumerate(parsed):
+        by_names.setdefault((p[0], p[1]), []).append(i)
+    blocks: dict[tuple, set] = {}
+    for at in by_names:
+        words = at[1].split()
+        for order in {"".join(words), "".join(words[::-1])} if len(words) == 2 else {"".join(words)}:
+            for d in _deletions(order):
+                blocks.setdefault((at[0], d), set()).add(at)
+    near = {(a, b) for found in blocks.values() if len(found) > 1 for a in found for b in found if a < b}
+    near |= {(a, a) for a in by_names}
+    out = {}
+    for a, b in near:
+        if a != b and _apart(a[1], b[1]) > 2:
+            continue
+        for i in by_names[a]:
+            for j in by_names[b]:
+                x, y = min(i, j), max(i, j)
+                if x != y and (x, y) not in out and (v := checked_similarity(parsed[x], parsed[y])) > 0:
+                    out[x, y] = v
+    return out
+
+
 def _cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id").reset_index(drop=True)
     parsed = [(r.kind, r.names, r.part, r.rest) for r in pdf.itertuples()]
+    mentions = pdf["mentions"].tolist()
     n = len(parsed)
-    if n > MATRIX_MEMBERS:
-        # far beyond any name's spellings: keep the component's complete forms apart by their exact parts
-        ids = {p: i for i, p in reversed(list(zip(pdf["id"], parsed, strict=True)))}
-        return pd.DataFrame({"id": pdf["id"], "cluster": [ids[p] for p in parsed]})
-    sim = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            sim[i, j] = sim[j, i] = checked_similarity(parsed[i], parsed[j])
+    sim = similar_pairs(parsed)
+    near: list[list[int]] = [[] for _ in range(n)]
+    for i, j in sim:
+        near[i].append(j)
+        near[j].append(i)
     # a short form that fits several full ones goes with the one most mentioned, or with none
     for i in range(n):
         if complete(parsed[i]):
             continue
         fits: dict[tuple, int] = {}
-        for j in range(n):
-            if sim[i, j] > 0 and complete(parsed[j]):
+        for j in near[i]:
+            if complete(parsed[j]):
                 own = (parsed[j][2], parsed[j][3])
-                fits[own] = fits.get(own, 0) + int(pdf["mentions"][j])
+                fits[own] = fits.get(own, 0) + int(mentions[j])
         if len(fits) > 1:
             best = sorted(fits.items(), key=lambda x: (-x[1], x[0]))
             keep = best[0][0] if best[0][1] >= 2 * best[1][1] else None
-            for j in range(n):
+            for j in near[i]:
                 if complete(parsed[j]) and (parsed[j][2], parsed[j][3]) != keep:
-                    sim[i, j] = sim[j, i] = 0.0
-    label = average_linkage(sim, LINKAGE)
+                    sim.pop((min(i, j), max(i, j)), None)
+    label = sparse_linkage(n, sim, LINKAGE)
     return pd.DataFrame({"id": pdf["id"], "cluster": [int(pdf["id"][x]) for x in label]})
 
 
