@@ -1,6 +1,7 @@
 """Filling fixed-capacity containers by lexical retrieval.
 
-Documents are spread over shards of bounded size.  Each shard is an inverted BM25 index over token ids: the
+Documents are spread over shards of bounded size.  Each shard is an inverted BM25 index over token ids, weighted by
+the frequencies and mean length of all documents' items, so a score does not depend on the shard: the
 largest unused document seeds a container, the index returns its unused neighbours by score, and they fill
 the window greedily; what no neighbour can fill goes to the largest unused item that fits.  A text above
 the capacity is cut into full pieces and its rest is packed like any item.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.tokens import DEFAULT_VOCABULARY, encode
+from kgspark.session import materialize, spread
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
@@ -28,9 +31,12 @@ _CONTAINERS_PER_SHARD = 100_000_000
 
 
 class Bm25Index:
-    """Postings of a shard with precomputed weights; terms in at least half of the items weigh nothing."""
+    """Postings of a shard with precomputed weights; terms in at least half of all items weigh nothing.
 
-    def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
+    ``stats`` (items, mean length, sorted terms, their item counts) describes all items; by default those given.
+    """
+
+    def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75, stats: tuple | None = None) -> None:
         n = len(items)
         self.n, size = n, np.array([len(x) for x in items], dtype=np.float64)
         span = 1 + max((int(x.max()) for x in items if len(x)), default=0)
@@ -38,10 +44,13 @@ class Bm25Index:
         keys, tf = np.unique(keys, return_counts=True)
         item, term = np.divmod(keys, span)
         terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+        total, mean = n, size.mean() if n else 1.0
+        if stats is not None:
+            total, mean, df = stats[0], stats[1], stats[3][np.searchsorted(stats[2], terms)]
+        idf = np.maximum(0.0, np.log((total - df + 0.5) / (df + 0.5)))
         keep = idf[term] > 0
         item, term, tf = item[keep], term[keep], tf[keep]
-        norm = k1 * (1 - b + b * size[item] / max(size.mean() if n else 1.0, 1e-9))
+        norm = k1 * (1 - b + b * size[item] / max(mean, 1e-9))
         weight = idf[term] * tf * (k1 + 1) / (tf + norm)
         self.query_at = np.searchsorted(item, np.arange(n + 1))
         self.query_terms = term
@@ -59,10 +68,10 @@ class Bm25Index:
         return np.bincount(self.post_item[idx], weights=self.post_weight[idx], minlength=self.n)
 
 
-def pack(items: list[np.ndarray], capacity: int) -> list[list[tuple[int, float]]]:
+def pack(items: list[np.ndarray], capacity: int, stats: tuple | None = None) -> list[list[tuple[int, float]]]:
     """Containers of (item, score against the seed); every non-empty item occurs exactly once."""
     size = np.array([len(x) for x in items], dtype=np.int64)
-    index = Bm25Index(items)
+    index = Bm25Index(items, stats=stats)
     unused = size > 0
     by_size = sorted((int(s), -i) for i, s in enumerate(size) if s > 0)
 
@@ -96,14 +105,46 @@ def pack(items: list[np.ndarray], capacity: int) -> list[list[tuple[int, float]]
     return out
 
 
-def _pack_shard(capacity: int, vocabulary: str):
+def _tokenise(vocabulary: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tok = [encode(t, vocabulary).astype(np.int32).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "shard": pdf["shard"], "tok": tok})
+
+    return run
+
+
+def _rest_terms(capacity: int):
+    """(term, n): items each term occurs in; -1 stands for all items, -2 for their tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            items = [x[len(x) // capacity * capacity :] for x in (np.frombuffer(b, dtype=np.int32) for b in pdf["tok"])]
+            items = [x for x in items if len(x)]
+            if items:
+                term, n = np.unique(np.concatenate([np.unique(x) for x in items]), return_counts=True)
+                yield pd.DataFrame({"term": np.concatenate((term, [-1, -2])), "n": np.concatenate((n, [len(items), sum(map(len, items))]))})
+
+    return run
+
+
+def item_stats(tokens: DataFrame, capacity: int) -> tuple | None:
+    """Statistics of all items for ``Bm25Index``; as many rows as the vocabulary has tokens reach the driver."""
+    got = tokens.select("tok").mapInPandas(_rest_terms(capacity), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).orderBy("term").toPandas()
+    if not len(got):
+        return None
+    n, term = got["n"].to_numpy(np.int64), got["term"].to_numpy(np.int64)
+    return int(n[1]), float(n[0]) / float(n[1]), term[2:].astype(np.int32), n[2:]
+
+
+def _pack_shard(capacity: int, stats: tuple | None):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(key[0]) * _CONTAINERS_PER_SHARD
         rows, items, origin = [], [], []
-        pdf = pdf.sort_values(["id", "text"], kind="stable")  # ids travel as text: whole numbers with NULLs would become floats
+        pdf = pdf.sort_values(["id", "tok"], kind="stable")  # ids travel as text: whole numbers with NULLs would become floats
         box = 0
-        for id_, text in zip(pdf["id"], pdf["text"], strict=True):
-            tok = encode(text, vocabulary)
+        for id_, raw in zip(pdf["id"], pdf["tok"], strict=True):
+            tok = np.frombuffer(raw, dtype=np.int32).astype(np.int64)
             n = len(tok)
             pieces = max(1, math.ceil(n / capacity))
             if n == 0:
@@ -116,7 +157,7 @@ def _pack_shard(capacity: int, vocabulary: str):
             if n % capacity:
                 items.append(tok[full * capacity :])
                 origin.append((id_, full, pieces))
-        for members in pack(items, capacity):
+        for members in pack(items, capacity, stats):
             for pos, (i, score) in enumerate(members):
                 id_, piece, pieces = origin[i]
                 rows.append((base + box, pos, id_, piece, pieces, piece * capacity, len(items[i]), score))
@@ -136,7 +177,10 @@ def pack_containers(
     # rows are spread by id and content, so repeats of an id or of a text do not pile up in one shard's memory
     shard = F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("int")
     # one task per shard: its input stays a few megabytes whatever the size of the corpus
-    packed = rows.withColumn("shard", shard).repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(capacity, vocabulary), _OUT)
+    tokens = spread(rows).withColumn("shard", shard).mapInPandas(_tokenise(vocabulary), "id string, shard int, tok binary")
+    tokens = materialize(tokens, "pack-tokens")
+    stats = item_stats(tokens, capacity)
+    packed = tokens.repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(capacity, stats), _OUT)
     return packed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
