@@ -125,13 +125,22 @@ _FOOT = "['EN', ' EN ', 'L 1/' || doc_id, 'L  1689/1', '12.7.2024', 'official jo
 @query(rf"""SELECT doc_id, i, line FROM (SELECT doc_id, unnest(range(8)) AS i, unnest({_FOOT}) AS line FROM documents)
 WHERE NOT regexp_full_match(trim(line), 'EN|(?i:Official Journal of the European Union)|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|L\s*\d+/\d+')""")
 def footer_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of a page without its furniture."""
+    """Furniture told from near misses on eight fixed lines; ``footer_lines`` filters the documents' own lines."""
     d = _t(spark, sf, "documents")
     lines = F.array(F.lit("EN"), F.lit(" EN "), F.concat(F.lit("L 1/"), F.col("doc_id").cast("string")), F.lit("L  1689/1"), F.lit("12.7.2024"), F.lit("official journal of the european union"), F.lit("As of 12.7.2024"), F.coalesce("lang", F.lit("EN")))
     out = d.select("doc_id", F.posexplode(lines).alias("i", "line")).where(~T.is_footer_line("line"))
     return out.select("doc_id", F.col("i").cast("bigint").alias("i"), "line")
 
 
+@query(rf"""SELECT doc_id, p AS i, l AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents)
+WHERE NOT regexp_full_match({_strip("l")}, 'EN|(?i:Official Journal of the European Union)|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|L\s*\d+/\d+')""")
+def footer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document without page furniture."""
+    d = spread(_t(spark, sf, "documents").select("doc_id", "text"))
+    out = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(~T.is_footer_line("line"))
+    return out.select("doc_id", F.col("i").cast("bigint").alias("i"), "line")
+
+
 @query(f"""WITH n AS (SELECT chunk_id, entity_text AS text FROM entities_review UNION ALL SELECT chunk_id, 'this ' || split_part(chunk_type, 'x', 1) || 'act' FROM chunks
 UNION ALL SELECT chunk_id, CASE seq % 5 WHEN 0 THEN ' The  Regulation ' WHEN 1 THEN 'this Act' WHEN 2 THEN 'Regulation' WHEN 3 THEN 'the decision' ELSE 'the directives' END FROM chunks)
 SELECT text, count(*) AS n, {_self("text")} AS self_reference FROM n WHERE text IS NOT NULL GROUP BY text""")

@@ -65,3 +65,10 @@ def test_sub_paragraphs_beyond_the_sixtieth_line(spark, tmp_path):
         parts |= {(d, p): s for p, s in enumerate(kept)} if len(marked) > 1 else {(d, 0): text}
     assert {(r["doc_id"], r["part"]): r["text"] for r in reference.QUERIES["subparagraph_split_all"](spark, sf).collect()} == parts
     assert {(r["doc_id"], r["n"]): r["start"] for r in reference.QUERIES["next_marker_span_all"](spark, sf).collect()} == spans
+
+
+def test_footer_lines_reads_the_documents(spark, tmp_path):
+    text = "EN\nArticle 1\n 12.7.2024 \nL 1/44\nAs of 12.7.2024\n\nofficial journal of the European Union\nEND"
+    sf = documents(spark, tmp_path, [(1, "a", text), (2, "a", "EN"), (3, "a", None), (4, "a", "")])
+    got = {(r["doc_id"], r["i"], r["line"]) for r in reference.QUERIES["footer_lines"](spark, sf).collect()}
+    assert got == {(1, 1, "Article 1"), (1, 4, "As of 12.7.2024"), (1, 5, ""), (1, 7, "END"), (4, 0, "")}
