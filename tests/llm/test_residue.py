@@ -26,16 +26,46 @@ GOOD = [
 ]
 
 
-@pytest.mark.parametrize("text", BAD)
+#: Slots in syntaxes that prose uses too and messages inside real text are found through others of their kind.
+WEAK = ["<<NAME>>", "by __AUTHORITY__ today", "#doc_title#", "%title%", "$fee$", "{0:NAME}", "The act «keeper_name» enters into force", "Notice reads “Box 1 is shut. Title: <date of adoption>. No copy.”"]
+#: Kinds that no list names.
+OTHERS = [
+    "Page not found. The page you requested does not exist.", "Error 404: the resource was not found", "This site requires JavaScript.", "[Your Name Here]",
+    "Insert text here", "An unexpected error occurred. Try again later.",
+]
+SPEECH = ["The API returns 404 Not Found when an item is missing, as article 3 explains.", "Lorem ipsum is a filler text that printers use.", "Filler such as “lorem ipsum” is not accepted as a statement of reasons."]
+
+
+def trusted(text):
+    return any(t for _, t, _ in residue.residue_passages(text, residue.normalise(text)))
+
+
+@pytest.mark.parametrize("text", sorted({*BAD, *OTHERS} - set(WEAK)))
 def test_trusted(text):
-    assert residue.traces(text, residue.normalise(text))[0]
-    mixed = "The clerk seals the box. " + text + " The keeper signs."
-    assert residue.traces(mixed, residue.normalise(mixed))[0]
+    assert trusted(text)
 
 
-@pytest.mark.parametrize("text", GOOD)
+@pytest.mark.parametrize("text", WEAK)
+def test_weak_slots_are_candidates_only(text):
+    assert not trusted(text) and any(residue.SLOT in p for p, _, _ in residue.residue_passages(text, residue.normalise(text)))
+
+
+@pytest.mark.parametrize("text", GOOD + SPEECH)
 def test_decoys(text):
-    assert not residue.traces(text, residue.normalise(text))[0]
+    assert not trusted(text)
+    assert not trusted("The clerk seals the box. " + text + " The keeper signs.")
+
+
+def test_messages_and_slots_inside_real_text(spark):
+    """Every kind is found inside real text through a page of its own kind or the same frame with a strict slot; no decoy is."""
+    alone = [*BAD, *OTHERS, "by {{ AUTHORITY }} today", "The act {{ keeper_name }} enters into force", "Title: {{ name }}", "${x}"]
+    inside = [f"The clerk of box {i} seals the tidal records in two copies for the keeper. {t}. The keeper signs the list before the winter closure." for i, t in enumerate([*BAD, *OTHERS])]
+    decoys = [f"The clerk of box {i} seals the tidal records in two copies. {t} The keeper signs the list." for i, t in enumerate([*GOOD, *SPEECH])]
+    rows = [*((i, t) for i, t in enumerate(alone)), *((1000 + i, t) for i, t in enumerate(inside)), *((2000 + i, t) for i, t in enumerate(decoys))]
+    got = residue.find_residue(spark.createDataFrame(rows, "doc_id bigint, text string")).where("residue").toPandas()
+    found = set(got["doc_id"])
+    assert [t for i, t in enumerate(inside) if 1000 + i not in found] == [] and not {i for i in found if i >= 2000}
+    assert (~got["trusted"]).sum() >= 15
 
 
 def test_simhash_lanes_equal_plain_counting():
@@ -77,7 +107,7 @@ def test_near_duplicates_recall(spark):
     assert len(got & true) >= 0.9 * len(true)
 
 
-def test_propagation_needs_a_hint(spark):
+def test_near_copies_without_the_passage_are_clean(spark):
     base = " ".join(f"word{i}" for i in range(120))
     rows = [
         (1, base + " {{ name }}"), (2, base + " {{ name"), (3, base + " name"), (4, "Another text about seals."), (5, base.upper() + " {{ NAME }}"),
