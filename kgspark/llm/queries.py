@@ -14,8 +14,8 @@ from kgspark.session import read_table
 # --- 1: names
 def _names(spark: SparkSession, sf: str) -> DataFrame:
     ex = read_table(spark, sf, "extractions").select("entities", "relations")
-    ent = ex.select(F.explode("entities").alias("e")).select(key_form("e.text").alias("key"))
-    rel = ex.select(F.explode("relations").alias("r")).select(F.explode(F.array("r.subject", "r.object")).alias("t")).select(key_form("t").alias("key"))
+    ent = ex.select(F.explode("entities").alias("e")).select(key_form("e.text").alias("key"), "e.type")
+    rel = ex.select(F.explode("relations").alias("r")).select(F.explode(F.array("r.subject", "r.object")).alias("t")).select(key_form("t").alias("key"), F.lit(None).cast("string").alias("type"))
     return ent.unionByName(rel)
 
 

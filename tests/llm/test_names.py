@@ -36,16 +36,80 @@ SAME = [
 
 
 @pytest.mark.parametrize("group", SAME)
-def test_parser_undoes_spelling(group):
-    parsed = {names.parse_name(k)[:4] for k in group}
-    assert len(parsed) == 1
+def test_spellings_of_one_name_align(group):
+    parsed = [names.parse_name(k) for k in group]
+    assert all(names.align(a, b)[0] and names.align(b, a)[0] for a in parsed for b in parsed)
+    assert all(names.cosine_of(a, b) > names.LINKAGE for a in parsed for b in parsed if a[0] == "name")
 
 
-@pytest.mark.parametrize("key", ["", "duty to record seals", "archive data", "25 july 2039", "fine of 100 marks", "x", "a" * 500, "right to board a ship", "1234"])
+@pytest.mark.parametrize("key", ["", "duty to record seals", "right to board a ship", "25 july 2039", "fine of 100 marks", "x", "a" * 500, "1234"])
 def test_no_names(key):
     assert names.parse_name(key) is None or names.parse_name(key)[0] == "acronym"
 
 
+@pytest.mark.parametrize(
+    "a, b",
+    [
+        ("angela merkel", "angela merkle"), ("merkel, angela", "a. merkel"), ("gabriel garcia marquez", "gabriel garciamarquez"), ("ursula von der leyen", "ursula von der layen"),
+        ("federal reserve bank", "fed. reserve bank"), ("acme holdings ltd", "acme holdings limited"), ("world health organization", "world health organisation"), ("дмитрий шостакович", "шостакович, д."),
+    ],
+)
+def test_names_in_no_list_align(a, b):
+    assert names.align(names.parse_name(a), names.parse_name(b))[0]
+
+
+@pytest.mark.parametrize(
+    "a, b",
+    [
+        ("angela merkel", "joachim merkel"), ("federal reserve bank", "federal reserve board"), ("world health organization", "world trade organization"),
+        ("institute for water mapping of folzamost", "institute for relic custody of folzamost"), ("robert kevquayol", "richard kevquayol"), ("acme holdings", "acme trading"),
+    ],
+)
+def test_different_names_do_not_align(a, b):
+    assert not names.align(names.parse_name(a), names.parse_name(b))[0]
+
+
+def test_a_remit_may_be_left_out():
+    assert names.align(names.parse_name("folzamost institute"), names.parse_name("folzamost institute for claims")) == (True, 1)
+
+
+def test_very_long_names():
+    a = " ".join(["word"] * 20_000) + " robert"
+    assert names.align(names.parse_name(a), names.parse_name(a[:-1] + "z"))[0]
+    assert names.distance("x" * 100_000 + "ab", "x" * 50_000 + "y" + "x" * 50_000 + "ba") == 2
+
+
+def out_of_list(people=200, seed=9):
+    rng = random.Random(seed)
+    first = "angela dmitri gabriel ursula joachim ingrid pablo chiara yusuf amina hiroshi mei svetlana bogdan oluwaseun nkechi rahul priya mateus beatriz "
+    first = (first + "marek agnieszka tomoko kenji ravi sunita lars astrid bjorn fatima omar leila goran ivana petra zoltan ilona cheng xiulan thabo zanele emeka adaeze rodrigo camila").split()
+    stem = "shostak marqu leyen merk sorens okafor tanak kowalcz fernand lindqv haugla petrosi ibarr moreau castel dvorak nyberg zelenk abdull verhoev".split()
+    end = "ovich ez sen berg ski ova escu ides ton ault".split()
+    group = []
+    for s, e in rng.sample([(s, e) for s in stem for e in end], people // 2):
+        group.append((rng.choice(first), s + e))
+    firm = "acme borealis cobalt delphi ember fulcrum granite helix indigo juniper".split()
+    what = "holdings trading logistics robotics pharma energy textiles media mining airways".split()
+    out = [[f"{f} {s}", f"{s}, {f}", f"{f[0]}. {s}", f"{f} {s[:3]}{s[4]}{s[3]}{s[5:]}", f"dr {f} {s}"] for f, s in group]
+    for f, w in rng.sample([(f, w) for f in firm for w in what], people - len(out)):
+        out.append([f"{f} {w} group", f"{f} {w} grp", f"the {f} {w} group", f"{f} {w[:-2]}{w[-1]}{w[-2]} group", f"{f}-{w} group"])
+    return out
+
+
+def test_recall_outside_the_lists(spark):
+    groups = out_of_list()
+    want = {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
+    got = pairs(spark, [k for g in groups for k in g])
+    assert len(groups) >= 200 and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
+
+
+def test_types_tell_names_from_concepts(spark):
+    rows = [("orlin quaybridge", "ORGANIZATION")] * 3 + [("orlin quaybrigde", "organization "), ("quaybridge, orlin", None), ("lantern estuary regime", "LEGAL_CONCEPT"), ("lantern estaury regime", "LEGAL_CONCEPT")]
+    df = spark.createDataFrame(rows, "key string, type string")
+    got = {tuple(r) for r in names.name_pairs(names.link_names(df)).collect()}
+    assert got == {("orlin quaybridge", "orlin quaybrigde"), ("orlin quaybridge", "quaybridge, orlin"), ("orlin quaybrigde", "quaybridge, orlin")}
+
+
 def test_different_entities_stay_apart(spark):
     keys = [
         "regulation (eu) 2031/108", "directive (eu) 2031/108", "regulation (eu) 2032/108", "regulation (eu) 2031/109",
@@ -63,8 +127,8 @@ def test_typos_initials_acronyms(spark):
 
 
 def test_letter_swapped_with_the_comma():
-    assert names.parse_name("vinkevbri ursbargo,n henrietta") == names.parse_name("vinkevbri ursbargon, henrietta")
-    assert names.parse_name("board,j oint registry") == names.parse_name("board, joint registry")
+    for a, b in (("vinkevbri ursbargo,n henrietta", "vinkevbri ursbargon, henrietta"), ("board,j oint registry", "board, joint registry")):
+        assert names.align(names.parse_name(a), names.parse_name(b))[0]
 
 
 def test_ambiguous_initial_is_left_alone(spark):
@@ -82,7 +146,7 @@ def test_ngram_join_against_brute_force(spark):
     rng = random.Random(4)
     syl = ["bar", "fil", "gon", "hur", "kip", "lat", "mas"]
     word = lambda: "".join(rng.choices(syl, k=rng.randint(1, 3)))
-    forms = [(i, rng.choice(["body", "person"]), f"{word()} {word()}", rng.choice(["office", "agency", "robert"]), rng.choice(["", "water"])) for i in range(160)]
+    forms = [(i, "name", [word(), word(), rng.choice(["office", "agency", "robert", word()])]) for i in range(160)]
     grams = {f[0]: names.grams_of(*f[1:]) for f in forms}
     df = Counter(g for v in grams.values() for g in v)
     idf = {g: math.log((len(forms) + names.PRIOR_FORMS) / n) for g, n in df.items()}
@@ -97,7 +161,7 @@ def test_ngram_join_against_brute_force(spark):
             c = sum(x * vec[j].get(g, 0.0) for g, x in vec[i].items())
             if c >= 0.3 + 1e-6:
                 want[(i, j)] = c
-    got = {(r["a"], r["b"]): r["cosine"] for r in names.ngram_pairs(spark.createDataFrame(forms, "id bigint, kind string, names string, part string, rest string")).collect()}
+    got = {(r["a"], r["b"]): r["cosine"] for r in names.ngram_pairs(spark.createDataFrame(forms, "id bigint, kind string, words array<string>")).collect()}
     assert set(want) <= set(got)
     assert all(abs(got[k] - c) < 1e-9 for k, c in want.items()) and all(c >= 0.3 - 1e-6 for c in got.values())
 

@@ -1,38 +1,12 @@
-"""Components of any size: the same pairs and the same groups on either side of ``MATRIX_MEMBERS``."""
+"""Clustering of components of any size."""
 
 import random
 
 import numpy as np
-import pandas as pd
 
 from kgspark.llm import names
 
 
-def many(n, seed=3):
-    rng = random.Random(seed)
-    base = [("".join(rng.choices("abcdlmnorst", k=7)), "".join(rng.choices("aeioklrsv", k=6))) for _ in range(n // 6)]
-    out = set()
-    while len(out) < n:
-        a, b = rng.choice(base)
-        w = list(f"{a} {b}")
-        for _ in range(rng.randint(0, 2)):
-            i = rng.randrange(len(w) - 1)
-            if rng.random() < 0.5:
-                w[i], w[i + 1] = w[i + 1], w[i]
-            else:
-                w[i] = rng.choice("abcdefg")
-        own = " ".join(sorted("".join(w).split()))
-        out.add(("person", own, rng.choice(["robert", "richard", "r", "mary"]), "") if rng.random() < 0.5 else ("body", own, "office", rng.choice(["", "water", "cable"])))
-    return sorted(out)
-
-
-def test_pairs_of_large_components_are_all_found(monkeypatch):
-    parsed = many(700)
-    whole = names.similar_pairs(parsed)
-    monkeypatch.setattr(names, "MATRIX_MEMBERS", 10)
-    assert names.similar_pairs(parsed) == whole and len(whole) > 300
-
-
 def test_sparse_linkage_equals_the_matrix():
     rng = random.Random(6)
     for _ in range(40):
@@ -44,10 +18,20 @@ def test_sparse_linkage_equals_the_matrix():
         assert names.sparse_linkage(n, sim, 0.3) == names.average_linkage(m, 0.3)
 
 
-def test_component_beyond_the_limit_is_clustered(monkeypatch):
-    parsed = many(1200)
-    pdf = pd.DataFrame([(i, *p, 1 + i % 3) for i, p in enumerate(parsed)], columns=["id", "kind", "names", "part", "rest", "mentions"])
-    large = names._cluster(("c",), pdf)
-    assert large["cluster"].nunique() < 0.9 * len(large)
-    monkeypatch.setattr(names, "MATRIX_MEMBERS", 10_000)
-    assert large.equals(names._cluster(("c",), pdf))
+def test_large_component():
+    """5,000 spellings of one name in one component end in one cluster; a chain does not."""
+    n = 5000
+    edges = [(i, j, 0.9, 0) for i in range(n) for j in range(i + 1, min(n, i + 8))]
+    hub = [(0, j, 0.9, 0) for j in range(8, n)]
+    got = names._group(dict.fromkeys(range(n), 1), edges + hub)
+    assert len(got) == n
+    chain = names._group(dict.fromkeys(range(n), 1), [(i, i + 1, 0.9, 0) for i in range(n - 1)])
+    assert len(set(chain.values())) > n / 20
+
+
+def test_short_form_goes_with_the_one_mentioned_more():
+    nodes = {1: 1, 2: 10, 3: 4}
+    got = names._group(nodes, [(1, 2, 0.9, 1), (1, 3, 0.9, 1)])
+    assert got[1] == got[2] != got[3]
+    nodes[3] = 8
+    assert len(set(names._group(nodes, [(1, 2, 0.9, 1), (1, 3, 0.9, 1)]).values())) == 3
