@@ -2,19 +2,22 @@
 
 A backend is a picklable object with ``load()``, called once per worker process, and ``extract(text)``.
 ``run`` calls it in ``mapInPandas`` and turns failures into rows: status 'ok', 'error' (the backend raised;
-not tried again) or 'timeout' (killed twice).  With ``timeout=None`` the backend runs inside the worker; with
-a timeout it runs in a child process that can be killed.
+not tried again) or 'timeout' (given up after two calls).  With ``timeout=None`` the backend runs inside the worker;
+with a timeout it runs on a leash: in a child process that can be ended.
 """
 
 from __future__ import annotations
 
 import multiprocessing as mp
-import queue
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+from multiprocessing.connection import Connection
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,80 +79,113 @@ class RuleBackend:
         return {"entities": [{"text": s[2], "type": s[3]} for s in spans], "relations": relations}
 
 
-def _serve(backend: Backend, tasks, results) -> None:
-    backend.load()
-    results.put(("ready", None))
-    while (text := tasks.get()) is not None:
+_ready: dict[str, Backend] = {}
+
+
+def loaded(backend: Backend) -> Backend:
+    """The backend of this name, loaded once in this process and kept for later tasks."""
+    if type(_ready.get(backend.name)) is not type(backend):
+        backend.load()
+        _ready[backend.name] = backend
+    return _ready[backend.name]
+
+
+def _answer(pipe: Connection, pickled: bytes) -> None:
+    model = cloudpickle.loads(pickled)
+    model.load()
+    pipe.send(None)
+    for text in iter(pipe.recv, None):
         try:
-            results.put(("ok", backend.extract(text)))
+            pipe.send((True, model.extract(text)))
         except Exception as e:  # noqa: BLE001
-            results.put(("error", str(e)))
-
-
-class KillableExtractor:
-    """Runs a backend in a child process; a call that exceeds the limit is killed and tried once more."""
-
-    def __init__(self, backend: Backend, timeout: float, startup: float = 60.0) -> None:
-        self.backend, self.timeout, self.startup = backend, timeout, startup
-        self.ctx = mp.get_context("fork")
-        self._start()
-
-    def _start(self) -> None:
-        self.tasks, self.results = self.ctx.Queue(), self.ctx.Queue()
-        self.process = self.ctx.Process(target=_serve, args=(self.backend, self.tasks, self.results), daemon=True)
-        self.process.start()
-        if self.results.get(timeout=self.startup)[0] != "ready":
-            raise RuntimeError("the worker did not start")
-
-    def close(self) -> None:
-        if self.process.is_alive():
-            self.process.terminate()
-            self.process.join(5)
-            if self.process.is_alive():
-                self.process.kill()
-                self.process.join(5)
-
-    def extract(self, text: str) -> tuple[str, dict | str | None, int]:
-        """(status, result or error, attempts)."""
-        for attempt in (1, 2):
-            self.tasks.put(text)
+            pipe.send((False, str(e)))
+
+
+@dataclass
+class Leash:
+    """A backend in a child process of its own; a call that takes longer than ``limit`` seconds costs the child its life.
+
+    The child starts with the first call after it was lost, so a model is only loaded where it is needed, and lives on
+    for the next tasks of the worker.
+    """
+
+    backend: Backend
+    limit: float
+    tries: int = 2
+    startup: float = 60.0
+
+    def __post_init__(self) -> None:
+        self._pipe, self._child = None, None
+
+    def _open(self) -> Connection:
+        if self._pipe is None:
+            context = mp.get_context("spawn")
+            self._pipe, far = context.Pipe()
+            self._child = context.Process(target=_answer, args=(far, cloudpickle.dumps(self.backend)), daemon=True)
+            self._child.start()
+            far.close()
+            if not self._pipe.poll(self.startup):
+                self.drop()
+                raise RuntimeError(f"backend {self.backend.name} did not load in {self.startup} s")
+            self._pipe.recv()
+        return self._pipe
+
+    def drop(self) -> None:
+        """End the child, whatever it does."""
+        if self._child is not None:
+            self._child.kill()
+            self._child.join()
+            self._pipe.close()
+        self._pipe = self._child = None
+
+    def ask(self, text: str) -> tuple[str, dict | str, int]:
+        """(status, result or error, calls made)."""
+        why = ""
+        for n in range(1, self.tries + 1):
             try:
-                status, payload = self.results.get(timeout=self.timeout)
-                return status, payload, attempt
-            except queue.Empty:
-                self.close()
-                self._start()
-        return "timeout", f"exceeded {self.timeout} s twice", 2
+                pipe = self._open()
+                pipe.send(text)
+                if pipe.poll(self.limit):
+                    ok, got = pipe.recv()
+                    return "ok" if ok else "error", got, n
+                why = f"no answer within {self.limit} s"
+            except (EOFError, BrokenPipeError, ConnectionResetError):
+                why = "the process ended"
+            self.drop()
+        return "timeout", f"{why}, {self.tries} times", self.tries
+
+
+_leashes: dict[tuple[str, float], Leash] = {}
+
+
+def _ask_plain(backend: Backend, text: str) -> tuple[str, dict | str, int]:
+    try:
+        return "ok", backend.extract(text), 1
+    except Exception as e:  # noqa: BLE001
+        return "error", str(e), 1
 
 
 def run(chunks: DataFrame, backend: Backend, timeout: float | None = None) -> DataFrame:
     """One row per chunk (chunk_id, text) with entities, grounded relations and the status; NULL texts give 'ok' and nothing."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend.load()
-        safe = KillableExtractor(backend, timeout) if timeout else None
-        try:
-            for pdf in batches:
-                rows = []
-                for cid, text in zip(pdf["chunk_id"], pdf["text"], strict=True):
-                    status, out, n = "ok", {"entities": [], "relations": []}, 1
-                    if text:
-                        if safe:
-                            status, out, n = safe.extract(text)
-                        else:
-                            try:
-                                out = backend.extract(text)
-                            except Exception as e:  # noqa: BLE001
-                                status, out = "error", str(e)
-                    got = out if status == "ok" and isinstance(out, dict) else {"entities": [], "relations": []}
-                    ents = [e for e in got["entities"] if e.get("type") in ENTITY_TYPES and e.get("text")]
-                    keys = {" ".join(e["text"].split()).lower() for e in ents}
-                    rels = [r for r in got["relations"] if all(" ".join(str(r.get(k, "")).split()).lower() in keys for k in ("subject", "object"))] if len(ents) >= 2 else []
-                    rows.append((cid, ents, rels, status, n, None if status == "ok" else str(out), backend.name))
-                yield pd.DataFrame(rows, columns=["chunk_id", "entities", "relations", "status", "attempts", "error", "backend"])
-        finally:
-            if safe:
-                safe.close()
+        if timeout:
+            key = (backend.name, timeout)
+            if key not in _leashes or type(_leashes[key].backend) is not type(backend):
+                _leashes[key] = Leash(backend, timeout)
+            ask = _leashes[key].ask
+        else:
+            ask = partial(_ask_plain, loaded(backend))
+        for pdf in batches:
+            rows = []
+            for cid, text in zip(pdf["chunk_id"], pdf["text"], strict=True):
+                status, out, n = ask(text) if text else ("ok", {}, 1)
+                got = out if status == "ok" and isinstance(out, dict) else {}
+                ents = [e for e in got.get("entities", []) if e.get("type") in ENTITY_TYPES and e.get("text")]
+                keys = {" ".join(e["text"].split()).lower() for e in ents}
+                rels = [r for r in got.get("relations", []) if all(" ".join(str(r.get(k, "")).split()).lower() in keys for k in ("subject", "object"))] if len(ents) >= 2 else []
+                rows.append((cid, ents, rels, status, n, None if status == "ok" else str(out), backend.name))
+            yield pd.DataFrame(rows, columns=["chunk_id", "entities", "relations", "status", "attempts", "error", "backend"])
 
     return spread(chunks.select("chunk_id", "text")).mapInPandas(work, RESULT)
 

@@ -1,6 +1,7 @@
 """Extraction runner: statuses, timeouts, fallback; files and the resuming stream."""
 
 import json
+import os
 import sys
 import time
 
@@ -46,14 +47,44 @@ def test_statuses_without_timeout(spark):
     assert got["2"]["status"] == "ok" and got["2"]["entities"] == [] and got["3"]["entities"] == []
 
 
-def test_timeout_is_tried_twice_and_worker_survives():
-    safe = extract.KillableExtractor(Fake(), timeout=0.5)
+class Counting(Fake):
+    """Counts its loads in a file, and ends its process on one word."""
+
+    name = "counting"
+
+    def __init__(self, path):
+        self.path = path
+
+    def load(self):
+        with open(self.path, "a") as f:
+            f.write("x")
+
+    def extract(self, text):
+        if text == "die":
+            os._exit(3)
+        return super().extract(text)
+
+
+def test_leash_ends_slow_calls_and_goes_on(tmp_path):
+    log = tmp_path / "loads"
+    safe = extract.Leash(Counting(str(log)), limit=1.0)
     try:
-        assert safe.extract("slow") == ("timeout", "exceeded 0.5 s twice", 2)
-        assert safe.extract("fine")[0] == "ok"
-        assert safe.extract("boom")[:2] == ("error", "bad text")
+        assert safe.ask("slow") == ("timeout", "no answer within 1.0 s, 2 times", 2)
+        assert safe.ask("fine")[0] == "ok" and safe.ask("boom")[:2] == ("error", "bad text")
+        assert log.read_text() == "xxx"  # two that were ended, one that still lives
+        assert safe.ask("die") == ("timeout", "the process ended, 2 times", 2)
     finally:
-        safe.close()
+        safe.drop()
+
+
+def test_timeout_in_a_run_becomes_a_row(spark):
+    got = {r["chunk_id"]: r for r in extract.run(chunks(spark, "ok", "slow", None).coalesce(1), Fake(), timeout=1.5).collect()}
+    assert got["0"]["status"] == "ok" and got["1"]["status"] == "timeout" and got["1"]["attempts"] == 2 and got["2"]["entities"] == []
+
+
+def test_backend_is_loaded_once_per_process(tmp_path):
+    b = Counting(str(tmp_path / "loads"))
+    assert extract.loaded(b) is extract.loaded(Counting("elsewhere")) and (tmp_path / "loads").read_text() == "x"
 
 
 def test_fallback_and_grounding(spark):
