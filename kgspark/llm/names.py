@@ -394,8 +394,8 @@ def _check(common: frozenset[str]):
                 a, b = ((r.kind, tuple(w), tuple(m)) for w, m in ((r.words_a, r.remit_a), (r.words_b, r.remit_b)))
                 same, short = align(a, b, common)
                 if same:
-                    rows.append((r.a, r.b, 1.0 if r.kind == "act" else cosine_of(a, b), short))
-            yield pd.DataFrame(rows, columns=["a", "b", "sim", "short"])
+                    rows.append((r.a, r.b, 1.0 if r.kind == "act" else cosine_of(a, b), short, r.mentions_a, r.mentions_b))
+            yield pd.DataFrame(rows, columns=["a", "b", "sim", "short", "mentions_a", "mentions_b"])
 
     return run
 
@@ -494,9 +494,27 @@ def _group(nodes: dict[int, int], edges: list[tuple[int, int, float, int]]) -> d
     return {x: ids[label[i]] for i, x in enumerate(ids)}
 
 
-def _cluster(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    got = _group(dict(zip(nodes["id"], nodes["mentions"], strict=True)), list(zip(edges["a"], edges["b"], edges["sim"], edges["short"], strict=True)))
-    return pd.DataFrame({"id": list(got), "cluster": list(got.values())}, dtype="int64")
+def _clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters of the components that come by in order, one component in memory at a time."""
+
+    def done(rows: list[tuple]) -> pd.DataFrame:
+        nodes = {r[0]: r[4] for r in rows} | {r[1]: r[5] for r in rows}
+        got = _group(nodes, [r[:4] for r in rows])
+        return pd.DataFrame({"id": list(got), "cluster": list(got.values())}, dtype="int64")
+
+    at, rows = None, []
+    for pdf in batches:
+        out = []
+        for r in pdf[["a", "b", "sim", "short", "mentions_a", "mentions_b", "component"]].itertuples(index=False, name=None):
+            if r[6] != at and rows:
+                out.append(done(rows))
+                rows = []
+            at = r[6]
+            rows.append(r)
+        if out:
+            yield pd.concat(out, ignore_index=True)
+    if rows:
+        yield done(rows)
 
 
 def _names_among(parsed: DataFrame, types_given: bool) -> DataFrame:
@@ -540,16 +558,16 @@ def link_names(names: DataFrame, name_types: tuple[str, ...] = NAME_TYPES) -> Da
     nodes = spellings.groupBy("id").agg(F.first("kind").alias("kind"), F.first("words").alias("words"), F.max("remit").alias("remit"), F.sum("mentions").alias("mentions"))
     nodes = materialize(nodes, "name-nodes")
     common = common_words(nodes)
-    side = lambda s: nodes.select(F.col("id").alias(s), F.col("kind").alias(f"kind_{s}"), F.col("words").alias(f"words_{s}"), F.col("remit").alias(f"remit_{s}"))
+    cols = ["kind", "words", "remit", "mentions"]
+    side = lambda s: nodes.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     both = ngram_pairs(nodes).join(side("a"), "a").join(side("b"), "b").where("kind_a = kind_b").withColumnRenamed("kind_a", "kind")
     # the rows are few but the work per row is not, so the number of tasks is set and not left to their size
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    checked = both.select("a", "b", "kind", "words_a", "remit_a", "words_b", "remit_b").repartition(tasks, "a", "b").mapInPandas(_check(common), "a bigint, b bigint, sim double, short int")
-    checked = materialize(checked, "name-pairs")
-    comp = materialize(connected_components(checked, "a", "b"), "name-components")
-    members = nodes.select("id", "mentions").join(comp, "id").repartition(tasks, "component").groupBy("component")
-    edges = checked.join(comp.select(F.col("id").alias("a"), F.col("component").alias("home")), "a").repartition(tasks, "home").groupBy("home")
-    clusters = members.cogroup(edges).applyInPandas(_cluster, "id bigint, cluster bigint")
+    both = both.select("a", "b", "kind", *[f"{c}_{s}" for s in "ab" for c in cols[1:]]).repartition(tasks, "a", "b")
+    checked = materialize(both.mapInPandas(_check(common), "a bigint, b bigint, sim double, short int, mentions_a bigint, mentions_b bigint"), "name-pairs")
+    comp = connected_components(checked, "a", "b")
+    edges = checked.join(comp.select(F.col("id").alias("a"), "component"), "a")
+    clusters = edges.repartition(tasks, "component").sortWithinPartitions("component").mapInPandas(_clusters, "id bigint, cluster bigint")
     return spellings.join(clusters, "id", "left").select("key", "kind", "mentions", F.coalesce("cluster", "id").alias("cluster"))
 
 
