@@ -10,7 +10,7 @@ from kgspark.operators.ingest import marks
 
 MAX_CHARS = 2000
 # A sub-paragraph marker and the place between two sentences.
-SUBPARAGRAPH = r"(?:(?<=\s)|^)(?:\d{1,2}\.|\(\d{1,2}\))\s+"
+SUBPARAGRAPH = r"(?:(?<=\s)|^)(?:(?=\d{1,2}\.\s)|\((?=\d{1,2}\)\s))(\d{1,2})[.)]\s+"
 SENTENCE = rf"(?<=[.;]){WS}+(?=[A-Z(])"
 
 
@@ -39,8 +39,7 @@ def subparagraphs(rows: DataFrame, id_cols: list[str], text_col: str, keep_pream
 
     Text before the first marker is dropped unless ``keep_preamble``.
     """
-    number = r"(?:(?<=\s)|^)(?:(?=\d{1,2}\.\s)|\((?=\d{1,2}\)\s))(\d{1,2})[.)]\s+"
-    m = marks(rows.select(*id_cols, text_col), id_cols, text_col, number)
+    m = marks(rows.select(*id_cols, text_col), id_cols, text_col, SUBPARAGRAPH)
     per = m.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("k", "n", "start"))).alias("m"))
     accepted = F.expr("""aggregate(m, named_struct('e', 1, 'a', cast(array() as array<bigint>)),
         (acc, x) -> if(x.n = acc.e, named_struct('e', acc.e + 1, 'a', concat(acc.a, array(cast(x.start as bigint)))), acc), acc -> acc.a)""")
@@ -70,16 +69,27 @@ def chunk_units(rows: DataFrame, id_cols: list[str], text_col: str, limit: int =
     return short.unionByName(flat)
 
 
-def chunk_documents(docs: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
-    """Chunk rows of parsed documents: recitals by position, articles by printed number."""
+def chunk_documents(docs: DataFrame, limit: int = MAX_CHARS, with_order: bool = False) -> DataFrame:
+    """Chunk rows of parsed documents: recitals by position, articles by printed number.
+
+    ``with_order`` adds ``ord``, the place of the unit in its document (printed numbers may repeat).
+    """
     rec = docs.select("celex", "title", F.posexplode("recitals").alias("p", "text")).select(
         "celex", "title", F.lit("recital").alias("chunk_type"), F.col("p").alias("ord"), (F.col("p") + 1).alias("unit_number"), F.lit(None).cast("string").alias("heading"), "text"
     )
     art = docs.select("celex", "title", F.posexplode("articles").alias("p", "a")).select(
         "celex", "title", F.lit("article").alias("chunk_type"), F.col("p").alias("ord"), F.col("a.number").alias("unit_number"), F.col("a.heading").alias("heading"), F.col("a.text").alias("text")
     )
-    units = rec.unionByName(art)
-    key = ["celex", "chunk_type", "ord"]
-    parts = chunk_units(units, key, "text", limit).join(units.drop("text"), key)
+    return chunk_rows(rec.unionByName(art), limit, with_order)
+
+
+def chunk_rows(units: DataFrame, limit: int = MAX_CHARS, with_order: bool = False) -> DataFrame:
+    """Chunk rows of units (celex, title, chunk_type, ord, unit_number, heading, text); only oversized units are shuffled."""
+    units = units.where("text is not null")
+    short = units.where(F.length("text") <= limit).withColumn("part", F.lit(0))
+    key, big = ["celex", "chunk_type", "ord"], units.where(F.length("text") > limit)
+    parts = chunk_units(big, key, "text", limit).join(big.drop("text"), key)
+    parts = short.unionByName(parts.select(short.columns))
     cid = F.concat_ws("_", "celex", "chunk_type", F.col("unit_number").cast("string"), F.col("part").cast("string"))
-    return parts.select(cid.alias("chunk_id"), "celex", F.col("title").alias("doc_title"), "chunk_type", "unit_number", "part", "heading", "text")
+    cols = [cid.alias("chunk_id"), "celex", F.col("title").alias("doc_title"), "chunk_type", "unit_number", "part", "heading", "text"]
+    return parts.select(*cols, *(["ord"] if with_order else []))

@@ -111,14 +111,29 @@ def percent(x: float | None, digits: int) -> str:
     return "n/a" if x is None else f"{x:.{digits}%}"
 
 
+METHOD_NOTE = "Labels were proposed by a reviewing backend and adjudicated; they are no independent ground truth."
+RELATION_NOTE = (
+    "A relation can only be right if both of its ends are and if the claim between them is.  Beyond the ends, relations fail by a wrong type, "
+    "by a reversed direction and by claims that the passage does not make."
+)
+KNOWN_PATTERNS = [
+    "Types mixed up at their borders: an instrument or a scheme taken for an act, an act for a body.",
+    "Spans that run several things together.",
+    "Citations that lost their first word.",
+    "A bare kind of act without number; the graph load only removes such words behind 'this' or 'the'.",
+]
+
+
 def report(entities: DataFrame, relations: DataFrame) -> str:
-    """Markdown report; only a handful of aggregates reach the driver."""
+    """Markdown report; besides two rows of totals only one row per entity type reaches the driver."""
     e, r = precision(entities).first(), precision(relations).first()
-    lines = ["# Extraction quality", "", "## Overall", f"- Entity precision: {percent(e['precision'], 1)} ({e['total']} sampled)", f"- Relation precision: {percent(r['precision'], 1)} ({r['total']} sampled)", "", "## Entity precision by type"]
-    types = precision_by_type(entities).orderBy("precision", "entity_type").limit(1000).collect()
+    lines = ["# Extraction quality", "", METHOD_NOTE, "", "## Overall", f"- Entity precision: {percent(e['precision'], 1)} ({e['total']} sampled)", f"- Relation precision: {percent(r['precision'], 1)} ({r['total']} sampled)", "", "## Entity precision by type"]
+    types = precision_by_type(entities).orderBy("precision", "entity_type").collect()
     lines += [f"- {t['entity_type']}: {t['correct']}/{t['total']} = {percent(t['precision'], 0)}" for t in types]
+    lines += ["", "## Relations against entities"]
     g = relation_gap(entities, relations).first()
     if g["predicted"] is not None and g["actual"] is not None:
         note = " (small sample, not reliable)" if g["small_sample"] else ""
-        lines += ["", "## Relations against entities", f"Both ends right by chance: {percent(g['predicted'], 0)}; found {percent(g['actual'], 0)}, {g['closeness']} the estimate{note}."]
+        lines += [f"Both ends right by chance: {percent(g['predicted'], 0)}; found {percent(g['actual'], 0)}, {g['closeness']} the estimate{note}."]
+    lines += [RELATION_NOTE, "", "## Known kinds of entity errors", *(f"- {x}" for x in KNOWN_PATTERNS)]
     return "\n".join(lines)

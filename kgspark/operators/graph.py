@@ -68,12 +68,16 @@ def document_nodes(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     return both.select("celex", F.coalesce(F.nullif("title", F.lit("")), F.nullif("loaded", F.lit("")), F.lit("")).alias("title"))
 
 
+def last_loaded(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, seq, celex) of the row loaded last for every chunk_id: all that a choice of chunks needs, without texts."""
+    return chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.max(F.struct("seq", "celex")).alias("m")).select("chunk_id", "m.seq", "m.celex")
+
+
 def chunk_nodes(chunks: DataFrame, ex: DataFrame) -> DataFrame:
-    """Chunks that have an extraction; of repeated ids the row loaded last wins."""
-    done = ex.select("chunk_id").distinct()
-    cols = ["celex", "chunk_type", "unit_number", "part", "heading", "text"]
-    last = chunks.join(done, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max_by(F.struct(*cols), "seq").alias("c"))
-    return last.select("chunk_id", *[f"c.{c}" for c in cols])
+    """Chunks that have an extraction; of repeated ids the row loaded last wins.  ``seq`` is unique, so texts are moved once."""
+    cols = ["chunk_id", "celex", "chunk_type", "unit_number", "part", "heading", "text"]
+    last = last_loaded(chunks.select("chunk_id", "seq", "celex")).join(ex.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return chunks.join(last.select("seq"), "seq", "left_semi").select(*cols)
 
 
 def has_chunk_edges(chunks: DataFrame, ex: DataFrame) -> DataFrame:
@@ -135,16 +139,19 @@ def neighborhood(edges: DataFrame, k: int = MAX_RELATIONS) -> DataFrame:
 
 
 def context_chunks(edges: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = MAX_CHUNKS) -> DataFrame:
-    """(key, rank, chunk_id, citation, excerpt): up to ``k`` chunks that mention an entity.
+    """(key, rank, chunk_id, citation, excerpt): up to ``k`` chunks that mention an entity (edges: chunk_id, key).
 
-    The rank is taken on the narrow edge table, so texts are joined for at most ``k`` chunks per entity.
+    The rank is taken on the narrow edge table; excerpts are cut before the join, so of every kept chunk at most
+    ``CONTEXT_CHARS`` characters are moved.
     """
-    ids = chunks.select("chunk_id", "celex")
     w = W.partitionBy("key").orderBy("celex", "chunk_id")
+    ids = last_loaded(chunks.select("chunk_id", "seq", "celex"))
     top = edges.join(ids, "chunk_id").where("celex is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    rows = top.select("key", "rank", "chunk_id").join(chunks, "chunk_id").join(docs, "celex")
-    cite = F.concat(F.lit("["), F.substring("title", 1, TITLE_CHARS), F.lit(" -- "), "chunk_type", F.lit(" "), F.col("unit_number").cast("string"), F.lit("]"))
-    return rows.select("key", "rank", "chunk_id", cite.alias("citation"), truncate_at_sentence(F.coalesce("text", F.lit("")), CONTEXT_CHARS).alias("excerpt"))
+    text = truncate_at_sentence(F.coalesce("text", F.lit("")), CONTEXT_CHARS)
+    own = chunks.select("seq", "chunk_type", F.col("unit_number").cast("string").alias("unit"), text.alias("excerpt"))
+    rows = top.select("key", "rank", "chunk_id", "seq", "celex").join(own, "seq").join(docs, "celex")
+    cite = F.concat(F.lit("["), F.substring("title", 1, TITLE_CHARS), F.lit(" -- "), "chunk_type", F.lit(" "), "unit", F.lit("]"))
+    return rows.select("key", "rank", "chunk_id", cite.alias("citation"), "excerpt")
 
 
 def relation_lines(near: DataFrame, nodes: DataFrame) -> DataFrame:

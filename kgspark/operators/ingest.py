@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import WS, collapse_ws, is_footer_line, is_recital, strip_ws
+from kgspark.session import materialize
 
 # The patterns of the source documents.
 TITLE_ANCHOR = r"(?m)^(REGULATION|DIRECTIVE|DECISION)[ \t]*\(E[UC]\)[^\n]*$"
@@ -71,11 +72,13 @@ def marks(rows: DataFrame, id_cols: list[str], text_col: str, pattern: str) -> D
 
     Only lengths leave the text's row: carrying the text along would copy it once per match.
     """
-    pre = rows.select(*id_cols, F.split(text_col, pattern, -1).alias("_p"), F.expr(f"regexp_extract_all({text_col}, r'{pattern}', 0)").alias("_f"), F.expr(f"regexp_extract_all({text_col}, r'{pattern}', 1)").alias("_n"))
-    sizes = F.arrays_zip(F.transform("_f", F.length).alias("f"), "_n", F.transform("_p", F.length).alias("p"))
+    # the number is read from the short match, so the text is scanned twice and not three times
+    pre = rows.select(*id_cols, F.split(text_col, pattern, -1).alias("_p"), F.expr(f"regexp_extract_all({text_col}, r'{pattern}', 0)").alias("_f")).where("size(_f) > 0")
+    number = lambda f: F.regexp_extract(f, r"\d+", 0).cast("int")
+    sizes = F.arrays_zip(F.transform("_f", F.length).alias("f"), F.transform("_f", number).alias("n"), F.transform("_p", F.length).alias("p"))
     each = pre.select(*id_cols, F.posexplode(sizes).alias("k", "x")).where("x.f is not null")
     stop = F.sum(F.col("x.p") + F.col("x.f")).over(W.partitionBy(*id_cols).orderBy("k"))
-    return each.select(*id_cols, "k", F.col("x._n").cast("int").alias("n"), (stop - F.col("x.f")).alias("start"), stop.alias("stop"))
+    return each.select(*id_cols, "k", "x.n", (stop - F.col("x.f")).alias("start"), stop.alias("stop"))
 
 
 def recitals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,7 +100,8 @@ def recitals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     piece = F.when(F.col("ok"), F.col("b")).otherwise(F.concat("f", "b"))
     spans = each.groupBy(id_col, "pos").agg(F.array_sort(F.collect_list(F.struct("k", piece.alias("s")))).alias("l"))
     spans = spans.select(id_col, "pos", strip_ws(F.array_join(F.transform("l", lambda x: x["s"]), "")).alias("text"))
-    return strip_footnotes(spans, [id_col, "pos"], "text")
+    # read twice, for the runs of footnotes and for the texts: stored, so that the recitals are cut once
+    return strip_footnotes(materialize(spans, "recitals"), [id_col, "pos"], "text")
 
 
 def footnote_runs(rows: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
@@ -112,7 +116,8 @@ def footnote_runs(rows: DataFrame, id_cols: list[str], text_col: str) -> DataFra
 
 def strip_footnotes(rows: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """``rows`` with embedded footnote blocks removed; texts without a removable block stay as they are."""
-    runs = footnote_runs(rows, id_cols, text_col).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
+    likely = rows.where(F.size(F.split(text_col, r"\(\s*\d{1,2}\s*\)", -1)) > 2)  # a run has two markers at least
+    runs = footnote_runs(likely.select(*id_cols, text_col), id_cols, text_col).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs"))
     both = rows.join(runs, id_cols, "left")
     oj, brk = f"r'{OJ_END}'", f"r'{SENTENCE_BREAK}'"
     ends = F.expr(f"""transform(_runs, x -> named_struct('a', x.start, 'b', x.stop, 't', substring({text_col}, int(x.stop + 1), {FOOTNOTE_GAP})))""")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.session import materialize
+
 
 def compress(rows: DataFrame, keys: list[str], value: str, weight: Column | None = None, **aggs: Column) -> DataFrame:
     """One row per (keys, value) with its frequency ``w``; map-side combined, spread by key *and* value."""
@@ -97,3 +99,19 @@ def spread_rank(
         running = F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, -1))
         out = out.withColumn("before", F.col("_w0") + F.coalesce(running, F.lit(0)))
     return out.drop("_bucket", "_n0", "_w0")
+
+
+def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rank`` (from 1) of every row in a total order, without a window over the whole table.
+
+    The rows are range-partitioned by the order and stored with the number of their partition; ranks within a partition
+    are moved up by the counts of the partitions before it, of which there is one row each.
+    """
+    cut = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    cut = materialize(cut, "ranked")
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_part").orderBy(*order)
+    out = cut.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(before), "_part")
+    return out.withColumn("rank", F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")

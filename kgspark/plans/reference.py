@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.functions import prompts
 from kgspark.functions import text as T
 from kgspark.operators import analytics, chunking, evaluate, extract, graph, ingest, rag
 from kgspark.plans.problems import sql_key
-from kgspark.session import read_table, spread
+from kgspark.session import materialize, read_table, spread
 from kgspark.sources import files
 
 QUERIES: dict = {}
@@ -284,20 +285,32 @@ def retry_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.select("seq", "chunk_id", "chunk_type").join(_failed(ex), "chunk_id")
 
 
-@query(_F + " SELECT chunk_id FROM f WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)")
+@query("SELECT DISTINCT chunk_id FROM extractions WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)")
 def missing_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Failed ids without a chunk."""
+    """Recorded ids without a chunk."""
     chunks, ex = _t(spark, sf, "chunks", "extractions")
-    return _failed(ex).join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+    return ex.select("chunk_id").where("chunk_id is not null").distinct().join(chunks.select("chunk_id"), "chunk_id", "left_anti")
 
 
-@query(_F + """ SELECT chunk_id, len(entities) AS n, 'first' AS backend FROM extractions WHERE len(entities) > 0
-UNION ALL SELECT c.chunk_id, 0, 'second' FROM (SELECT DISTINCT chunk_id FROM chunks) c JOIN f ON c.chunk_id = f.chunk_id""")
+class _ActsOnly(extract.RuleBackend):
+    """A second backend that only knows acts."""
+
+    name = "second"
+
+    def load(self) -> None:
+        super().load()
+        self.patterns = self.patterns[:1]
+
+
+@query(_F + r""", t AS (SELECT c.chunk_id, arg_max(text, seq) AS text FROM chunks c JOIN f ON c.chunk_id = f.chunk_id GROUP BY 1)
+SELECT chunk_id, len(entities) AS n, 'first' AS backend FROM extractions WHERE len(entities) > 0
+UNION ALL SELECT chunk_id, len(regexp_extract_all(coalesce(text, ''), '\b(?:Regulation|Directive|Decision) ?\((?:EU|EC)\) ?(?:No )?\d{1,4}/\d{1,4}')), 'second' FROM t""")
 def retry_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Results of the first pass with those of the second appended."""
+    """Results of the first pass, and those of a second backend for the chunks it failed on."""
     chunks, ex = _t(spark, sf, "chunks", "extractions")
     one = ex.where(F.size("entities") > 0).select("chunk_id", F.size("entities").alias("n"), F.lit("first").alias("backend"))
-    two = chunks.select("chunk_id").distinct().join(_failed(ex), "chunk_id").select("chunk_id", F.lit(0).alias("n"), F.lit("second").alias("backend"))
+    again = chunks.join(_failed(ex), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max_by("text", "seq").alias("text"))
+    two = extract.run(again, _ActsOnly()).select("chunk_id", F.size("entities").alias("n"), "backend")
     return one.unionByName(two)
 
 
@@ -397,7 +410,7 @@ c5 AS (SELECT key, rank, t5.chunk_id, '[' || substr(docs.title, 1, 50) || ' -- '
 def context_chunks_top5(spark: SparkSession, sf: str) -> DataFrame:
     """Up to five passages of every entity."""
     ex, chunks, reg = _t(spark, sf, "extractions", "chunks", "registry")
-    return graph.context_chunks(graph.mention_edges(ex, chunks), graph.chunk_nodes(chunks, ex), graph.document_nodes(chunks, reg))
+    return graph.context_chunks(graph.mention_edges(ex, chunks), chunks, graph.document_nodes(chunks, reg))
 
 
 @query(_M + """SELECT nb.key, rank, '  ' || CASE WHEN outgoing THEN a.name ELSE b.name END || ' --' || rel || '--> ' || CASE WHEN outgoing THEN b.name ELSE a.name END AS line
@@ -416,8 +429,9 @@ FROM nodes n LEFT JOIN ln ON ln.key = n.key LEFT JOIN cl ON cl.key = n.key""")
 def context_sections(spark: SparkSession, sf: str) -> DataFrame:
     """The context text of every entity."""
     ex = _t(spark, sf, "extractions")
-    nodes = graph.entity_nodes(ex)
-    return graph.context_sections(nodes, relation_lines(spark, sf), context_chunks_top5(spark, sf))
+    nodes = materialize(graph.entity_nodes(ex), "nodes")  # for both ends of the edges and for the sections
+    lines = graph.relation_lines(graph.neighborhood(graph.relation_edges(ex)), nodes)
+    return graph.context_sections(nodes, lines, context_chunks_top5(spark, sf))
 
 
 # --- aggregations
@@ -546,11 +560,10 @@ def spot_check_sample(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.spot_check(rows, key)
 
 
-@query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events ORDER BY ts DESC, event_id LIMIT 50")
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events")
 def history_desc(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest fifty rows of a history."""
-    top = _t(spark, sf, "events").orderBy(F.desc("ts"), "event_id").limit(50)
-    return top.select("event_id", "event_type", F.row_number().over(W.orderBy(F.desc("ts"), "event_id")).alias("rank"))
+    """A history, newest first."""
+    return rag.history(_t(spark, sf, "events").select("ts", "event_id", "event_type"), "event_id").select("event_id", "event_type", "rank")
 
 
 @query("SELECT chunk_type, count(*) AS n FROM (SELECT chunk_type FROM chunks WHERE chunk_type = 'recital' UNION ALL SELECT chunk_type FROM chunks WHERE chunk_type = 'article') GROUP BY 1")
@@ -613,20 +626,20 @@ n AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM l
 """
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    clean = F.translate("text", "()_0123456789", "[]-abcdefghij")
-    lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: T.collapse_ws(x)), lambda x: x != "")
+def _lines(spark: SparkSession, sf: str, clean: bool = True) -> DataFrame:
+    text = F.translate("text", "()_0123456789", "[]-abcdefghij") if clean else F.col("text")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: T.collapse_ws(x)), lambda x: x != "")
     return spread(_t(spark, sf, "documents").where("text is not null").select("doc_id", "source", "text")).select("doc_id", "source", lines.alias("l"))
 
 
-def _acts(spark: SparkSession, sf: str) -> DataFrame:
+def _acts(spark: SparkSession, sf: str, clean: bool = True) -> DataFrame:
     """(doc_id, text): header, recitals with a citation after every third, articles, signature and annex."""
     num = lambda i: (i + 1).cast("string")
     cite = lambda i: F.when((i + 1) % 3 == 0, F.lit(" (99) See Council Directive (OJ L 95, p. 29).")).otherwise(F.lit(""))
     rec = F.array_join(F.transform("l", lambda x, i: F.concat(F.lit("("), num(i), F.lit(") "), x, cite(i))), "\n")
     art = F.array_join(F.transform("l", lambda x, i: F.concat(F.lit("Article "), num(i), F.lit(" \nHeading "), num(i), F.lit("\n  1. "), x, F.lit("\n"))), "")
     head = F.concat(F.lit("REGULATION (EU) 2016/"), F.col("doc_id").cast("string"), F.lit(" OF THE COUNCIL\nof 27 April 2016 \non "), F.coalesce("source", F.lit("none")), F.lit("\n(Text with EEA relevance)\nWhereas: "))
-    return _lines(spark, sf).select("doc_id", F.concat(F.lit("12.7.2024\n"), head, rec, F.lit("\nHAVE ADOPTED THIS REGULATION:\n"), art, F.lit("Done at Brussels, 27 April 2016.\nANNEX\nArticle 9\nnot part of it")).alias("text"))
+    return _lines(spark, sf, clean).select("doc_id", F.concat(F.lit("12.7.2024\n"), head, rec, F.lit("\nHAVE ADOPTED THIS REGULATION:\n"), art, F.lit("Done at Brussels, 27 April 2016.\nANNEX\nArticle 9\nnot part of it")).alias("text"))
 
 
 @query("SELECT doc_id, 'REGULATION (EU) 2016/' || doc_id || ' OF THE COUNCIL on ' || coalesce(source, 'none') AS title, '27 April 2016' AS date FROM documents WHERE text IS NOT NULL")
@@ -667,65 +680,53 @@ def footnote_runs(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.footnote_runs(_footnoted(spark, sf), ["doc_id", "i"], "text").select("doc_id", "i", "n_marks", "first_n", "start")
 
 
-_MARKER = r"(?:(?<=\s)|^)(?:(?=\d{1,2}\.\s)|\((?=\d{1,2}\)\s))(\d{1,2})[.)]\s+"
-
-
-def _numbered(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    """(doc_id, text): all lines, or the first ``most``, as 'Intro. 1. a 2. b ...' or '(1) a (2) b ...'."""
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text): all lines as 'Intro. 1. a 2. b ...' or '(1) a (2) b ...'."""
     mark = lambda i: F.when(F.col("doc_id") % 2 == 0, F.concat((i + 1).cast("string"), F.lit(". "))).otherwise(F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") ")))
-    parts = F.transform(F.col("l") if most is None else F.slice("l", 1, most), lambda x, i: F.concat(mark(i), x))
+    parts = F.transform("l", lambda x, i: F.concat(mark(i), x))
     return _lines(spark, sf).select("doc_id", F.concat(F.lit("Intro. "), F.array_join(parts, " ")).alias("text"))
 
 
-@query(_L + """, k AS (SELECT doc_id, len(l) AS k, l FROM l), m AS (SELECT n.doc_id, i - 1 AS part, CASE WHEN n.doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END AS text FROM n JOIN k ON n.doc_id = k.doc_id WHERE k >= 2 AND i <= 60)
-SELECT doc_id, part, text FROM m UNION ALL SELECT doc_id, 0, rtrim('Intro. ' || CASE WHEN k = 0 THEN '' WHEN doc_id % 2 = 0 THEN '1. ' || l[1] ELSE '(1) ' || l[1] END) FROM k WHERE k < 2""")
-def subparagraph_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered sub-paragraphs of the first 60 lines, as its SQL has them; ``subparagraph_split_all`` reads all lines."""
-    out = chunking.subparagraphs(_numbered(spark, sf, 60), ["doc_id"], "text")
-    return out.select("doc_id", "part", F.rtrim("text").alias("text"))
-
-
 @query(_L + """, m AS (SELECT doc_id, least(i, 99) - 1 AS part, string_agg(CASE WHEN doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END, ' ' ORDER BY i) AS text FROM n GROUP BY ALL)
 SELECT m.doc_id, part, text FROM m JOIN l ON m.doc_id = l.doc_id WHERE len(l) >= 2
 UNION ALL SELECT doc_id, 0, rtrim('Intro. ' || CASE WHEN len(l) = 0 THEN '' WHEN doc_id % 2 = 0 THEN '1. ' || l[1] ELSE '(1) ' || l[1] END) FROM l WHERE len(l) < 2""")
-def subparagraph_split_all(spark: SparkSession, sf: str) -> DataFrame:
+def subparagraph_split(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered sub-paragraphs of whole documents; markers have two digits, so what follows 99 stays in the last part."""
     out = chunking.subparagraphs(_numbered(spark, sf), ["doc_id"], "text")
     return out.select("doc_id", "part", F.rtrim("text").alias("text"))
 
 
-@query(_L + """, k AS (SELECT n.doc_id, i, CASE WHEN n.doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END AS p FROM n WHERE i <= 60)
-SELECT doc_id, i AS n, (7 + sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 1)::BIGINT AS start FROM k""")
-def next_marker_span(spark: SparkSession, sf: str) -> DataFrame:
-    """Offsets of the markers of the first 60 lines, as its SQL has them; ``next_marker_span_all`` reads all lines."""
-    return ingest.marks(_numbered(spark, sf, 60), ["doc_id"], "text", _MARKER).select("doc_id", "n", "start")
-
-
 @query(_L + """, k AS (SELECT doc_id, i, CASE WHEN doc_id % 2 = 0 THEN i || '. ' || line ELSE '(' || i || ') ' || line END AS p FROM n)
 SELECT doc_id, n, start FROM (SELECT doc_id, i AS n, (7 + sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 1)::BIGINT AS start FROM k) WHERE n <= 99""")
-def next_marker_span_all(spark: SparkSession, sf: str) -> DataFrame:
+def next_marker_span(spark: SparkSession, sf: str) -> DataFrame:
     """Offsets of all markers of whole documents; a number of three digits is no marker."""
-    return ingest.marks(_numbered(spark, sf), ["doc_id"], "text", _MARKER).select("doc_id", "n", "start")
+    return ingest.marks(_numbered(spark, sf), ["doc_id"], "text", chunking.SUBPARAGRAPH).select("doc_id", "n", "start")
 
 
-def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.parse_documents(_acts(spark, sf).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("celex"), "text"))
+def _units(spark: SparkSession, sf: str, clean: bool) -> DataFrame:
+    """Recitals and articles of the acts as units to be chunked."""
+    acts = materialize(_acts(spark, sf, clean).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("celex"), "text"), "acts")
+    rec = ingest.recitals(acts, "celex", "text").select("celex", F.lit("recital").alias("chunk_type"), F.col("pos").alias("ord"), F.col("pos").cast("int").alias("unit_number"), F.lit(None).cast("string").alias("heading"), "text")
+    art = ingest.articles(acts, "celex", "text").select("celex", F.lit("article").alias("chunk_type"), F.col("pos").cast("bigint").alias("ord"), F.col("number").alias("unit_number"), "heading", "text")
+    return rec.unionByName(art).withColumn("title", F.lit(""))
 
 
-@query(_L + """, u AS (SELECT doc_id, 'recital' AS chunk_type, i AS unit_number, NULL AS heading, line || CASE WHEN i % 3 = 0 THEN ' (99) See Council Directive (OJ L 95, p. 29).' ELSE '' END AS text FROM n
-UNION ALL SELECT doc_id, 'article', i, 'Heading ' || i, '1. ' || line FROM n)
-SELECT 'D' || doc_id || '_' || chunk_type || '_' || unit_number || '_0' AS chunk_id, 'D' || doc_id AS celex, chunk_type, unit_number, heading, text FROM u WHERE length(text) <= 2000""")
+@query(_L + f""", u AS (SELECT doc_id, 'recital' AS chunk_type, i AS unit_number, NULL AS heading, line || CASE WHEN i % 3 = 0 THEN ' (99) See Council Directive (OJ L 95, p. 29).' ELSE '' END AS text FROM n
+UNION ALL SELECT doc_id, 'article', i, 'Heading ' || i, '1. ' || line FROM n),
+s AS (SELECT *, list_transform({_SENT}, lambda x: struct_pack(o := CAST([] AS VARCHAR[]), c := {_strip("x")}, r := x)) AS l FROM u WHERE length(text) > 2000),
+p AS (SELECT doc_id, chunk_type, unit_number, heading, list_reduce(l, lambda a, x: CASE WHEN length(a.c) > 0 AND length(a.c) + length(x.r) + 1 > 2000 THEN struct_pack(o := list_append(a.o, {_strip("a.c")}), c := x.r, r := '') ELSE struct_pack(o := a.o, c := {_strip("a.c || ' ' || x.r")}, r := '') END) AS f FROM s),
+c AS (SELECT doc_id, chunk_type, unit_number, heading, list_append(f.o, {_strip("f.c")}) AS parts FROM p UNION ALL SELECT doc_id, chunk_type, unit_number, heading, [text] FROM u WHERE length(text) <= 2000),
+e AS (SELECT doc_id, chunk_type, unit_number, heading, unnest(range(len(parts))) AS part, unnest(parts) AS text FROM c)
+SELECT 'D' || doc_id || '_' || chunk_type || '_' || unit_number || '_' || part AS chunk_id, 'D' || doc_id AS celex, chunk_type, unit_number, part, heading, text FROM e""")
 def chunk_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """The units of acts that need no cut, which SQL can follow; ``chunk_documents`` has all units."""
-    out = chunking.chunk_documents(_parsed(spark, sf))
-    units = out.groupBy("celex", "chunk_type", "unit_number").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("m")).where("n = 1")
-    return out.join(units, ["celex", "chunk_type", "unit_number"], "left_semi").where(F.length("text") <= 2000).select("chunk_id", "celex", "chunk_type", "unit_number", "heading", "text")
+    """Chunks of acts, units over the limit with all their parts."""
+    return chunking.chunk_rows(_units(spark, sf, True)).select("chunk_id", "celex", "chunk_type", "unit_number", F.col("part").cast("bigint").alias("part"), "heading", "text")
 
 
 @query()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Acts parsed and chunked, every unit with all its parts."""
-    return chunking.chunk_documents(_parsed(spark, sf))
+    """Chunks of acts whose lines are left as they are, with whatever looks like a marker in them; its test has a brute-force version."""
+    return chunking.chunk_rows(_units(spark, sf, False))
 
 
 # --- model-side helpers
@@ -759,6 +760,42 @@ def prompt_template(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("seq", F.md5(F.concat(F.lit("Text:\n"), F.coalesce("text", F.lit("")), F.lit("\n\nConfirmed entities:\n"), lines)).alias("prompt"))
 
 
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_Q = "Which duties does the Harbour Data Office have?"
+
+
+@query(_M + f"""SELECT block, md5({_sql_text(prompts.SELECT_TASK + chr(10) * 2 + "Names:" + chr(10))} || string_agg(name, chr(10) ORDER BY name) || {_sql_text(chr(10) * 2 + "Question: " + _Q)}) AS prompt
+FROM (SELECT DISTINCT name, ('0x' || substr(md5(name), 1, 12))::BIGINT % (SELECT ceil(count(DISTINCT name) / 500.0)::BIGINT FROM nodes) AS block FROM nodes) GROUP BY block""")
+def selection_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts that ask which entities a question is about, one per block of names (their md5)."""
+    names = materialize(rag.entity_names(graph.entity_nodes(_t(spark, sf, "extractions"))), "names")
+    return prompts.name_blocks(names).select("block", F.md5(prompts.selection("names", F.lit(_Q))).alias("prompt"))
+
+
+@query(f"""SELECT 'entity' AS kind, md5({_sql_text(prompts.ENTITY_TASK + chr(10) * 2 + "Passage:" + chr(10))} || coalesce(chunk_text, '') || {_sql_text(chr(10) * 2 + 'Entity: "')} || coalesce(entity_text, '') || '" (' || coalesce(entity_type, '') || ')') AS prompt FROM entities_review
+UNION ALL SELECT 'relation', md5({_sql_text(prompts.RELATION_TASK + chr(10) * 2 + "Passage:" + chr(10))} || coalesce(chunk_text, '') || {_sql_text(chr(10) * 2 + 'Relation: "')} || coalesce(subject, '') || '" --' || coalesce(relation, '') || '--> "' || coalesce(object, '') || '"') FROM relations_review""")
+def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts that put every review row to a judge (their md5)."""
+    ent, rel = _t(spark, sf, "entities_review", "relations_review")
+    e = ent.select(F.lit("entity").alias("kind"), F.md5(prompts.entity_verdict("chunk_text", "entity_text", "entity_type")).alias("prompt"))
+    return e.unionByName(rel.select(F.lit("relation").alias("kind"), F.md5(prompts.relation_verdict("chunk_text", "subject", "relation", "object")).alias("prompt")))
+
+
+@query(_C5 + f""", ln AS (SELECT nb.key, string_agg('  ' || CASE WHEN outgoing THEN a.name ELSE b.name END || ' --' || rel || '--> ' || CASE WHEN outgoing THEN b.name ELSE a.name END, chr(10) ORDER BY rank) AS rel
+FROM nb JOIN nodes a ON a.key = nb.key JOIN nodes b ON b.key = nb.other GROUP BY nb.key),
+cl AS (SELECT key, string_agg('  ' || citation || chr(10) || '  ' || ({_TRUNC}), chr(10) || chr(10) ORDER BY rank) AS cite FROM c5 GROUP BY key)
+SELECT n.key, md5({_sql_text(prompts.ANSWER_TASK + chr(10) * 2 + "Passages:" + chr(10))} || '### ' || name || ' (' || type || ')' || chr(10) || 'Relations:' || chr(10) || coalesce(rel, '  (none found)') || chr(10) || 'Mentioned in:' || chr(10) || coalesce(cite, '  (no chunks found)')
+|| {_sql_text(chr(10) * 2 + "Question: What holds for ")} || name || '?') AS prompt FROM nodes n LEFT JOIN ln ON ln.key = n.key LEFT JOIN cl ON cl.key = n.key""")
+def answer_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """A prompt for every entity that asks for an answer from its context (their md5)."""
+    nodes = materialize(graph.entity_nodes(_t(spark, sf, "extractions")), "nodes")
+    both = context_sections(spark, sf).join(nodes.select("key", "name"), "key")
+    return both.select("key", F.md5(prompts.answering("section", F.concat(F.lit("What holds for "), "name", F.lit("?")))).alias("prompt"))
+
+
 @query(f"""WITH e AS (SELECT seq, list_filter(entities, lambda e: e IS NOT NULL AND {sql_key("e.text")} <> '') AS e FROM extractions),
 p AS (SELECT seq, unnest(range(len(e) - 1)) AS pos, unnest(e[1:len(e) - 1]) AS a, unnest(e[2:len(e)]) AS b FROM e WHERE len(e) >= 2)
 SELECT seq, pos, a.text AS subject, 'REFERENCES' AS relation, b.text AS object FROM p WHERE {sql_key("a.text")} <> {sql_key("b.text")}""")

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -24,18 +25,31 @@ DEFAULTS = {
 }
 
 
+def _submitted() -> dict[str, str]:
+    """Settings made by whoever launched the driver: a submit command, an environment or a context that runs already."""
+    if SparkContext._jvm is None and not {"PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS", "SPARK_CONF_DIR"} & os.environ.keys():
+        return {}
+    SparkContext._ensure_initialized()
+    own = SparkContext._active_spark_context
+    return dict((own.getConf() if own else SparkConf()).getAll())
+
+
 def build_session(master: str = "local[8]", app: str = "kgspark", conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with the engine's defaults; on a cluster the submitter's settings win."""
-    builder = SparkSession.builder.master(master).appName(app)
-    for k, v in (DEFAULTS | (conf or {})).items():
-        builder = builder.config(k, v)
+    """A session with the engine's defaults; the master and all settings of the submitter win over those given here."""
+    given = _submitted()
+    builder = SparkSession.builder
+    for k, v in (DEFAULTS | {"spark.master": master, "spark.app.name": app} | (conf or {})).items():
+        if k not in given:
+            builder = builder.config(k, v)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, read from the session; a local one only where none is set."""
+    """The folder all executors can reach, read from the session; a local one only where none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kgspark-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove_local, found)

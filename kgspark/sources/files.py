@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark import schemas
+from kgspark.session import materialize
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +74,32 @@ def write_partitioned(df: DataFrame, path: str, by: str = "celex", fmt: str = "p
     df.repartition(by).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None while nothing has been written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def write_arrays(df: DataFrame, path: str, by: str = "celex") -> None:
+    """One JSON array of objects per value of ``by``, in folders named by it; for samples, whose groups are small."""
+    cols = [c for c in df.columns if c != by]
+    one = df.groupBy(by).agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
+    one.write.mode("overwrite").partitionBy(by).text(path)
+
+
+def write_sidecars(spark: SparkSession, registry: DataFrame, path: str) -> DataFrame:
+    """Sidecar rows of acts that have none yet are appended as JSON lines, one folder per act; returns those added."""
+    try:
+        existing = spark.read.schema("celex string").json(path)
+    except AnalysisException:
+        existing = spark.createDataFrame([], "celex string")
+    new = materialize(missing_sidecars(registry, existing).dropDuplicates(["celex"]), "sidecars")
+    new.withColumn("folder", F.col("celex")).write.mode("append").partitionBy("folder").json(path)
+    return new
+
+
 def append_results(df: DataFrame, path: str) -> None:
     """Durable append; a task's rows become visible with its commit."""
     df.write.mode("append").parquet(path)

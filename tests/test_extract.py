@@ -153,3 +153,6 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     spark.createDataFrame([("9", "Directive (EU) 2031/9")], "chunk_id string, text string").write.mode("append").json(src)
     resume_stream(spark, src, out, bad, state)
     assert sorted(r["chunk_id"] for r in spark.read.parquet(out).collect()) == ["0", "1", "9"]
+    chunks(spark, "changed", "again").write.mode("append").json(src)  # the ids 0 and 1 once more, in a new file
+    resume_stream(spark, src, out, bad, state)
+    assert sorted(r["chunk_id"] for r in spark.read.parquet(out).collect()) == ["0", "1", "9"]

@@ -1,8 +1,6 @@
-"""Structure recognition against plain Python versions of the rules."""
-
-import random
-import re
+"""Structure recognition: tables of texts and what comes out of them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgspark.operators import chunking, ingest
@@ -34,84 +32,60 @@ def test_recitals_keep_position_and_absorb_citations(spark):
     assert got == [(1, "First reason. (7) Directive X (OJ L 1, p. 2)."), (2, "Third reason.")]
 
 
-def brute_footnotes(text):
-    ms = list(re.finditer(r"(?<=\s)\(\s*(\d{1,2})\s*\)\s+", text))
-    runs, i = [], 0
-    while i < len(ms):
-        j = i
-        while j + 1 < len(ms) and int(ms[j + 1][1]) == int(ms[j][1]) + 1 and ms[j + 1].start() - ms[j].end() <= 600:
-            j += 1
-        if j > i:
-            runs.append((ms[i].start(), ms[j].end()))
-        i = j + 1
-    cut = []
-    for a, b in runs:
-        tail = text[b : b + 600]
-        m = re.search(r"\(OJ [^)]*\)\.", tail) or re.search(r"(?<=[.;])\s+(?=[A-Z(])", tail)
-        if m:
-            cut.append((a, b + m.end()))
-    if not cut:
-        return text
-    out, at = [], 0
-    for a, b in cut:
-        out.append(text[at:a])
-        at = b
-    return re.sub(r"\s+", " ", "".join([*out, text[at:]])).strip()
-
-
-def test_footnotes_against_brute_force(spark):
-    rng = random.Random(3)
-    parts = ["Plain words here.", "(1) Act a (OJ L 1, p. 2).", "( 2 ) Act b (OJ L 3).", "(3) not yet published. Next", "(9) lone", "x" * 650, "and so on;", "(1) again"]
-    rows = [(i, " " + " ".join(rng.choices(parts, k=rng.randint(1, 9)))) for i in range(150)] + [(900, ""), (901, "Personal or (1) a (OJ L 1). (2) b (OJ L 2). household")]
+# text, text without its embedded footnotes
+FOOTNOTES = [
+    ("Plain prose stays as it is.", "Plain prose stays as it is."),
+    ("A lone (5) reference  stays.", "A lone (5) reference  stays."),
+    ("Personal or (1) Act a (OJ L 124, p. 1). (2) Act b (OJ L 8, p. 2). household use", "Personal or household use"),
+    ("New technologies. (1) OJ C 1. (2) Opinion of 16 May. (3) Act c (OJ L 3). The board decides.", "New technologies. The board decides."),
+    ("Spaced ( 6 ) Act f (OJ L 6). ( 7 ) Act g (OJ L 7). marks", "Spaced marks"),
+    ("Kept ( 9 ). Then ( 6 ) Act f (OJ L 6). ( 7 ) Act g (OJ L 7). A key role", "Kept ( 9 ). Then A key role"),
+    ("Not in order (2) Act b (OJ L 2). (1) Act a (OJ L 1). stays", "Not in order (2) Act b (OJ L 2). (1) Act a (OJ L 1). stays"),
+    ("Ends at a sentence (1) first note (2) second note. The rest", "Ends at a sentence The rest"),
+    ("No end in sight (1) first (2) second", "No end in sight (1) first (2) second"),
+    ("Too far (1) " + "x" * 601 + " (2) Act b (OJ L 2). apart", "Too far (1) " + "x" * 601 + " (2) Act b (OJ L 2). apart"),
+    ("Long entry (1) " + "x" * 590 + " (2) Act b (OJ L 2). of data", "Long entry of data"),
+    ("Two runs (1) a (2) b (OJ L 2). and (1) c (2) d (OJ L 4). here", "Two runs and here"),
+    ("Three (1) a (2) b (3) c (OJ L 3). in one", "Three in one"),
+    ("", ""),
+]
+
+
+def test_footnotes(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(FOOTNOTES)]
     got = {r["id"]: r["text"] for r in ingest.strip_footnotes(one(spark, rows), ["id"], "text").collect()}
-    for i, t in rows:
-        # overlapping cuts are joined here, so compare only where the plain rule has disjoint ones
-        assert got[i] == brute_footnotes(t), t
-
-
-def brute_subparagraphs(text):
-    acc, want = [], 1
-    for m in re.finditer(r"(?:(?<=\s)|^)(\d{1,2})\.\s+|(?:(?<=\s)|^)\((\d{1,2})\)\s+", text):
-        if int(m[1] or m[2]) == want:
-            acc.append(m.start())
-            want += 1
-    if len(acc) < 2:
-        return [text]
-    return [text[a:b].strip() for a, b in zip(acc, acc[1:] + [len(text)])]
-
-
-def brute_pack(text, limit):
-    out, cur = [], ""
-    for s in re.split(r"(?<=[.;])\s+(?=[A-Z(])", text):
-        if cur and len(cur) + len(s) + 1 > limit:
-            out.append(cur.strip())
-            cur = s
-        else:
-            cur = f"{cur} {s}".strip()
-    return out + [cur.strip()] if cur else out
-
-
-def brute_unit(text, limit):
-    if len(text) <= limit:
-        return [text]
-    parts = brute_subparagraphs(text)
-    if len(parts) == 1:
-        return brute_pack(text, limit)
-    return [x for p in parts for x in (brute_pack(p, limit) if len(p) > limit else [p])]
-
-
-def test_chunk_units_against_brute_force(spark):
-    rng = random.Random(5)
-    words = ["1.", "2.", "3.", "(1)", "(2)", "(3)", "Alpha", "beta;", "Gamma.", "No. 45", "p. 20", "(see", "end).", "See paragraph 5."]
-    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(200)] + ["", "1. only", "x" * 500, "1. a 2. b (1) x (2) y (3) z. 3. d"]
-    rows = list(enumerate(texts))
-    for limit in (40, 120):
-        got = {}
-        for r in chunking.chunk_units(one(spark, [*rows, (9999, None)]), ["id"], "text", limit).orderBy("id", "part").collect():
-            got.setdefault(r["id"], []).append(r["text"])
-        assert 9999 not in got
-        for i, t in rows:
-            assert got.get(i, []) == brute_unit(t, limit), (t, limit)
+    assert got == {i: want for i, (_, want) in enumerate(FOOTNOTES)}
+
+
+def test_footnote_runs(spark):
+    got = ingest.footnote_runs(one(spark, [(1, "a (1) b (2) c (4) d (5) e (6) f (9) g")]), ["id"], "text").orderBy("start").collect()
+    assert [(r["n_marks"], r["first_n"], r["start"], r["stop"]) for r in got] == [(2, 1, 2, 12), (3, 4, 14, 30)]
+
+
+# text, limit, parts
+UNITS = [
+    ("short", 2000, ["short"]), ("", 10, [""]), ("1. only one marker", 2000, ["1. only one marker"]),
+    ("1. aaaa bbbb 2. cccc dddd 3. eeee", 14, ["1. aaaa bbbb", "2. cccc dddd", "3. eeee"]),
+    ("(1) aaaa bbbb (2) cccc dddd (3) eeee", 15, ["(1) aaaa bbbb", "(2) cccc dddd", "(3) eeee"]),
+    ("Intro that goes. 1. aaaa 2. bbbb cccc", 20, ["1. aaaa", "2. bbbb cccc"]),
+    ("1. aaaa 3. bbbb 2. cccc dddd eeee", 16, ["1. aaaa 3. bbbb", "2. cccc dddd eeee"]),
+    ("See paragraph 5 and 9 of it. Then more. End.", 24, ["See paragraph 5 and 9 of it.", "Then more. End."]),
+    ("One. Two. Three. Four.", 10, ["One. Two.", "Three.", "Four."]), ("One. Two. Three. Four.", 21, ["One. Two. Three.", "Four."]), ("One. Two. Three. Four.", 22, ["One. Two. Three. Four."]),
+    ("Under No. 45 and p. 20 there. Next.", 12, ["Under No. 45 and p. 20 there.", "Next."]),
+    ("alpha; Beta; (c) gamma; delta.", 12, ["alpha; Beta;", "(c) gamma; delta."]),
+    ("x" * 50, 20, ["x" * 50]),
+    ("1. Aaa bbb. Ccc ddd. Eee. 2. Fff.", 12, ["1. Aaa bbb.", "Ccc ddd.", "Eee.", "2. Fff."]),
+    ("(1) aaaa. 2. bbbb cccc", 12, ["(1) aaaa.", "2. bbbb cccc"]),
+]
+
+
+@pytest.mark.parametrize("limit", sorted({n for _, n, _ in UNITS}))
+def test_chunk_units(spark, limit):
+    cases = [(i, t, want) for i, (t, n, want) in enumerate(UNITS) if n == limit]
+    got = {}
+    for r in chunking.chunk_units(one(spark, [*((i, t) for i, t, _ in cases), (9999, None)]), ["id"], "text", limit).orderBy("id", "part").collect():
+        got.setdefault(r["id"], []).append(r["text"])
+    assert got == {i: want for i, _, want in cases}
 
 
 def test_subparagraph_preamble(spark):

@@ -1,7 +1,5 @@
 """Queries over whole documents: units over the limit against plain Python, on a table of long lines."""
 
-import re
-
 import pytest
 
 from kgspark.plans import reference
@@ -15,39 +13,47 @@ def documents(spark, path, rows):
     return str(path)
 
 
-def cut(text, limit=2000):
-    """The parts of a unit without two numbered sub-paragraphs."""
-    if len(text) <= limit:
-        return [text]
-    out, cur = [], ""
-    for s in re.split(r"(?<=[.;])\s+(?=[A-Z(])", text):
-        if cur and len(cur) + len(s) + 1 > limit:
-            out.append(cur.strip())
-            cur = s
-        else:
-            cur = f"{cur} {s}".strip()
-    return [*out, cur.strip()] if cur else out
+#: Line and the parts of it as a recital and as an article; a number of sentences stands for so many of ``SENTENCE``.
+#: 37 sentences of 53 letters with the spaces between them are 1,997 letters, with "1. " in front 2,000.
+LINES = [
+    ("Short line one.", ["Short line one."], ["1. Short line one."]),
+    (90, [37, 37, 16], [37, 37, 16]),
+    ("word " * 500 + "end.", ["word " * 500 + "end.", CITE.strip()], ["1. " + "word " * 500 + "end."]),
+    (37, [37], [37]),
+    ("x" * 1997, ["x" * 1997], ["1. " + "x" * 1997]),
+    ("y" * 2001, ["y" * 2001 + CITE], ["1. " + "y" * 2001]),
+    (38, [37, 1], [37, 1]),
+    ("Last.", ["Last."], ["1. Last."]),
+]
+
+
+def spelled(x):
+    return (SENTENCE * x).strip() if isinstance(x, int) else x
 
 
 @pytest.fixture(scope="module")
 def long_acts():
-    lines = ["Short line one.", (SENTENCE * 90).strip(), "word " * 500 + "end.", (SENTENCE * 36).strip(), "x" * 2000, "y" * 2001, "Last."]
-    return [(1, "a", "\n".join(lines)), (2, None, "Only one line."), (3, "b", ""), (4, "c", None)]
+    return [(1, "a", "\n".join(spelled(x) for x, _, _ in LINES)), (2, None, "Only one line."), (3, "b", ""), (4, "c", None)]
 
 
-def test_chunk_documents_cuts_long_units(spark, tmp_path, long_acts):
+@pytest.mark.parametrize("name", ["chunk_documents", "chunk_explode"])
+def test_long_units_are_cut(spark, tmp_path, long_acts, name):
     got = {}
-    for r in reference.QUERIES["chunk_documents"](spark, documents(spark, tmp_path, long_acts)).collect():
+    for r in reference.QUERIES[name](spark, documents(spark, tmp_path, long_acts)).collect():
         assert r["chunk_id"] == f"{r['celex']}_{r['chunk_type']}_{r['unit_number']}_{r['part']}" and r["chunk_id"] not in got
         got[r["chunk_id"]] = r["text"]
-    want = {}
-    for doc_id, _, text in long_acts:
-        for i, line in enumerate([x for x in (text or "").split("\n") if x], 1):
-            line = " ".join(line.split())
-            units = {"recital": line + (CITE if i % 3 == 0 else ""), "article": f"1. {line}"}
-            want |= {f"D{doc_id}_{k}_{i}_{p}": t for k, u in units.items() for p, t in enumerate(cut(u))}
+    want = {"D2_recital_1_0": "Only one line.", "D2_article_1_0": "1. Only one line."}
+    for i, (_, recital, article) in enumerate(LINES, 1):
+        want |= {f"D1_recital_{i}_{p}": spelled(x) for p, x in enumerate(recital)}
+        want |= {f"D1_article_{i}_{p}": ("1. " if p == 0 and isinstance(x, int) else "") + spelled(x) for p, x in enumerate(article)}
     assert got == want
-    assert sum(not k.endswith("_0") for k in got) >= 4
+
+
+def test_lines_that_look_like_markers(spark, tmp_path):
+    """What stands in the lines themselves is read as the marker it looks like."""
+    text = "Plain.\nSee (4) there.\nArticle 7\nBody (OJ L 1, p. 2). End"
+    got = {r["chunk_id"]: r["text"] for r in reference.QUERIES["chunk_documents"](spark, documents(spark, tmp_path, [(1, "a", text)])).collect()}
+    assert [got[f"D1_recital_{i}_0"] for i in (1, 2, 3)] == ["Plain.", "See", "there."]
 
 
 def test_sub_paragraphs_beyond_the_sixtieth_line(spark, tmp_path):
@@ -63,8 +69,8 @@ def test_sub_paragraphs_beyond_the_sixtieth_line(spark, tmp_path):
             at += len(m) + 1
         kept = [*marked[:98], " ".join(marked[98:])] if len(marked) > 98 else marked
         parts |= {(d, p): s for p, s in enumerate(kept)} if len(marked) > 1 else {(d, 0): text}
-    assert {(r["doc_id"], r["part"]): r["text"] for r in reference.QUERIES["subparagraph_split_all"](spark, sf).collect()} == parts
-    assert {(r["doc_id"], r["n"]): r["start"] for r in reference.QUERIES["next_marker_span_all"](spark, sf).collect()} == spans
+    assert {(r["doc_id"], r["part"]): r["text"] for r in reference.QUERIES["subparagraph_split"](spark, sf).collect()} == parts
+    assert {(r["doc_id"], r["n"]): r["start"] for r in reference.QUERIES["next_marker_span"](spark, sf).collect()} == spans
 
 
 def test_footer_lines_reads_the_documents(spark, tmp_path):
