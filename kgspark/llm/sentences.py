@@ -24,12 +24,12 @@ from pyspark.sql import types as T
 
 from kgspark.session import spread
 
-#: Longest quotation that protects its inside; longer ones are taken for unbalanced marks.
-MAX_QUOTE = 400
+#: Words before a position that the rules may look at; a window holds so many at least, or the whole sentence.
+WORDS_BACK, WINDOW = 6, 48
 
 # Abbreviations that never end a sentence, per language ("" holds for all of them).
 ABBREVIATIONS = {
-    "": "Dr Prof Mr Mrs Ms St f Reg Dir Dec Jt North Harb Mar Salv No Nos Art Arts cf approx vs fn sec p pp e.g i.e dept",
+    "": "Dr Prof Mr Mrs Ms St No Nos Art Arts cf approx vs fn sec p pp e.g i.e dept",
     "en": "para ch vol fig resp viz incl",
     "de": "Nr Abs gem z d v bzw vgl Ziff S ca bspw inkl Hr Fr u sog usf",
     "fr": "M MM Mme Mlle art par ex chap al n° no",
@@ -39,6 +39,13 @@ ABBREVIATIONS = {
     "hi": "अनु डॉ श्री",
     "ar": "",
 }
+# Words of bodies and their usual abbreviations; a capital behind a full stop goes on with their name.
+BODIES = (
+    "Authority|Agency|Association|Board|Bureau|Commission|Committee|Company|Council|Court|Department|Directorate|Foundation|Institute|Laboratory|Ministry|Office|Service|Society|University"
+    "|Auth|Agcy|Assoc|Assn|Bd|Cncl|Comm|Cttee|Dept|Fdn|Inst|Lab|Min|Off|Univ"
+)
+#: What begins a sentence and no name.
+DETERMINERS = "The|A|An|Any|All|Each|Every|No|This|That|These|Those|Such|Its|Their|His|Her|Der|Die|Das|Ein|Eine|Le|La|Les|Un|Une|El|Los|Las"
 GERMAN_MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 # Frequent short words that tell the Latin-script languages apart.
 STOPWORDS = {
@@ -59,7 +66,8 @@ _STOP_RX = {k: re.compile(rf"\b(?:{'|'.join(v.split())})\b", re.I) for k, v in S
 _LETTER = re.compile(r"[^\W\d_]")
 
 _QUOTES = re.compile(
-    rf"„[^„“”]{{1,{MAX_QUOTE}}}[“”]|“[^“”„]{{1,{MAX_QUOTE}}}”|«[^«»]{{1,{MAX_QUOTE}}}»|「[^「」]{{1,{MAX_QUOTE}}}」|『[^『』]{{1,{MAX_QUOTE}}}』"
+    # an opening mark that is never closed ends at the next opening one, so it protects nothing
+    "„[^„“”]+[“”]|“[^“”„]+”|«[^«»]+»|「[^「」]+」|『[^『』]+』"
 )
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _SPACE = re.compile(r"\s*")
@@ -84,6 +92,11 @@ def _cased_rules(lang: str) -> list[tuple[bool, str, str]]:
     }.get(lang, [])
     return [
         *own,
+        # acts cited by number; bodies whose first words or remit are cut short
+        (False, r"\b(?:Reg|Dir|Dec)\.$", r"\s*\(?(?:EU\b|EC\b|\d)"),
+        (False, rf"\b(?:{BODIES})\.?\s+f\.$", r"\s+\p{Lu}"),
+        (False, rf"\b(?:{BODIES})\.?\s+(?:for|f\.)\s+\p{{Lu}}\p{{Ll}}{{1,5}}\.$", r"\s+\p{Lu}"),
+        (False, r"(?:^|[\s.,;:(“„«’])(?:North|South|East|West|(?!Off|Inst|Lab|Comm|Dept|Auth)\p{Lu}\p{Ll}{1,3})\.$", rf"\s+(?!(?:{DETERMINERS})\b)(?:\p{{Lu}}\p{{Ll}}+\s+){{1,2}}(?:{BODIES})\b"),
         (False, _abbreviations(lang), r"(?!\s*\n\s*\n)"),
         # a roman numeral ends a reference, an initial does not end a name unless the name is inverted
         (True, r"\b(?:Annex|Annexe|Anexo|Anhang|Chapter|Chapitre|Kapitel|Capítulo|Part|Title|Schedule)\s+[IVXLC]+\.$", r"\s*[\p{Lu}“„«¿¡(§\d]"),
@@ -142,9 +155,19 @@ def detect_language(text: str) -> str:
     return best if votes[best] else "en"
 
 
-def _decides(rules: list, before: str, after: str) -> bool:
+def _decides(rules: list, text: str, start: int, j: int) -> bool:
+    """What the first rule that matches around ``j`` says of a sentence that began at ``start``.
+
+    The rules see the text behind ``j`` as far as they match, and before it the last ``WORDS_BACK`` words or the
+    whole sentence, never a part of a word.
+    """
+    before = text[start:j]
+    if j - WINDOW > start:
+        at = text.rfind(" ", start, j - WINDOW) + 1
+        if at > start and text.count(" ", at, j) >= WORDS_BACK:
+            before = text[at:j]
     for breaks, x, y in rules:
-        if (x is None or x.search(before)) and (y is None or y.match(after)):
+        if (x is None or x.search(before)) and (y is None or y.match(text, j)):
             return breaks
     return False
 
@@ -159,7 +182,7 @@ def sentence_starts(text: str | None, lang: str | None = None) -> list[int]:
     lang = lang or detect_language(text)
     rules = rules_of(lang)
     hard = {m.end() for m in _BLANK.finditer(text) if first < m.end() < len(text)}
-    quotes = [(m.start(), m.end()) for m in _QUOTES.finditer(text) if "\n\n" not in m.group()]
+    quotes = [(m.start(), m.end()) for m in _QUOTES.finditer(text) if not _BLANK.search(m.group())]
     end = _END.get({"ja": "cjk", "zh": "cjk"}.get(lang, lang), _END["cased"])
     starts, q, nq = [first], 0, len(quotes)
     hards = sorted(hard)
@@ -193,7 +216,7 @@ def sentence_starts(text: str | None, lang: str | None = None) -> list[int]:
             continue
         if _MARKER.fullmatch(text, starts[-1], j):
             continue
-        if _decides(rules, text[max(starts[-1], j - 40) : j], text[j : k + 24]):
+        if _decides(rules, text, starts[-1], j):
             starts.append(k)
     take_hard(len(text))
     return starts

@@ -29,13 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.sentences import MAX_QUOTE, sentence_starts
+from kgspark.llm.sentences import sentence_starts
 from kgspark.session import materialize
 
 MAX_CHARS, OVERLAP = 2000, 200
-RANGE_CHARS = 32_768
-#: Longer than any context a rule looks at: a quotation and the sentence around it.
-HALO = 10 * MAX_QUOTE
+#: Texts of two ranges and more are cut by several tasks; the longer ones of ordinary texts are among them.
+RANGE_CHARS = 4096
+#: Context on either side of a range.  A quotation that is longer, and only such a one, may be split inside at a range's edge.
+HALO = 4000
 
 BLANK, PARAGRAPH, ITEM, SENTENCE = "blank", "paragraph", "item", "sentence"
 
@@ -240,7 +241,10 @@ def split_rows(
     seg = ranges.join(per, ["id", "r"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<pos:bigint,kind:string>>")))
     # stitch: a range is planned from its own first boundary to that of the next range
     near_lo = F.filter("m", lambda x: x["pos"] < F.col("lo") + halo // 2)
-    head = F.coalesce(F.try_element_at(F.transform(near_lo, lambda x: x["pos"]), F.lit(1)), F.col("lo"))
+    # a range without a boundary at its head is entered behind white space, if there is any
+    gap = F.regexp_instr(F.substring("window", (F.col("lo") - F.col("first")).cast("int"), halo // 2), F.lit(r"\s\S"))
+    entry = F.col("lo") + F.when(gap > 0, gap - 1).otherwise(0)
+    head = F.coalesce(F.try_element_at(F.transform(near_lo, lambda x: x["pos"]), F.lit(1)), entry)
     by_id = W.partitionBy("id").orderBy("r")
     seg = seg.withColumn("a", F.when(F.col("r") == 0, F.lit(0).cast("long")).otherwise(head))
     seg = seg.withColumn("b", F.coalesce(F.lead("a").over(by_id), F.col("n")))

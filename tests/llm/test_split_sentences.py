@@ -120,3 +120,21 @@ def test_files_by_byte_ranges(spark, tmp_path):
     assert len(rows) == 399 and sorted(r["number"] for r in rows) == list(range(1, 400))
     assert all(raw[r["byte_pos"] :].startswith(f"{r['number']}. ".encode()) for r in rows)
     assert got.agg(F.sum("chars")).first()[0] == len(body)
+
+
+def test_long_quotations_and_whole_context():
+    """A quotation of any length protects its inside; words of no language's abbreviations end sentences."""
+    long = "He said “" + "one thing. Another thing. " * 40 + "done” and left. Then silence."
+    assert [long[s:][:4] for s in sentence_starts(long)] == ["He s", "Then"]
+    unbalanced = "He said “one thing. Then he “said another.” Then silence."
+    assert len(sentence_starts(unbalanced)) == 3
+    for text in ("He sailed to the North. The ship returned in spring.", "The harbour closed in Mar. The quay stayed open."):
+        assert len(sentence_starts(text)) == 2
+    for text in ("The Jt. Registry Board met.", "The findings of Reg. 2031/108 stand.", "The Institute f. Maritime Archives met.", "The Dept. for Salv. Claims met."):
+        assert len(sentence_starts(text)) == 1
+
+
+def test_ranges_without_boundaries_are_not_cut_inside_words(spark):
+    text = "word " * 8000
+    got = split.split_rows(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")["pieces"].orderBy("piece_no").collect()
+    assert rebuild(got) == text and all(r["new_pos"] == 1 or text[r["new_pos"] - 2] == " " for r in got) and len(got) > 20
