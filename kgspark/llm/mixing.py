@@ -61,14 +61,6 @@ def shard_quotas(spark, names: list[str], blocks: list[int], shards: int, seed:
     return nodes.mapInPandas(expand, "source string, shard int, n bigint")
 
 
-def _step(n: int) -> int:
-    """A multiplier coprime to n near the golden section: x -> (x * step + c) mod n is a permutation."""
-    s = max(1, int(n * 0.6180339887))
-    while math.gcd(s, n) != 1:
-        s += 1
-    return s
-
-
 def mix_sources(
     docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, seed: int = 42,
     block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS,
@@ -89,17 +81,20 @@ def mix_sources(
         full, rest = divmod(take, size) if size else (0, 0)
         per_pass = max(1, math.ceil(size / block_tokens))
         blocks = full * per_pass + math.ceil(rest / block_tokens)
-        exhausted = r["max_repeats"] * size * 1000 < r["target_permille"] * total
-        plan.append((r["source"], r["target_permille"], r["max_repeats"], r["docs"], size, want, take, full, rest, per_pass, blocks, _step(max(1, blocks)), exhausted))
-    schema = "source string, target_permille int, max_repeats int, docs bigint, tokens bigint, want bigint, take bigint, full bigint, rest bigint, per_pass bigint, blocks bigint, step bigint, exhausted boolean"
+        plan.append((r["source"], r["target_permille"], r["max_repeats"], r["docs"], size, want, take, full, rest, per_pass, blocks))
+    schema = "source string, target_permille int, max_repeats int, docs bigint, tokens bigint, want bigint, take bigint, full bigint, rest bigint, per_pass bigint, blocks bigint"
     plan_df = spark.createDataFrame(plan, schema)  # one row per target, bounded by MAX_SOURCES
     used = sizes.join(F.broadcast(plan_df.select("source")), "source", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     ranked = spread_rank(used, ["source"], ["h", "doc_id"], sum(r[3] for r in plan), weight="n_tokens")
-    got = ranked.join(F.broadcast(plan_df.select("source", "full", "rest", "per_pass", "blocks", "step")), "source")
+    got = ranked.join(F.broadcast(plan_df.select("source", "full", "rest", "per_pass", "blocks")), "source")
     copies = F.col("full") + F.when(F.col("before") + F.col("n_tokens") <= F.col("rest"), 1).otherwise(0)
     got = got.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
     block = F.col("copy") * F.col("per_pass") + F.least(F.floor(F.col("before") / block_tokens), F.col("per_pass") - 1)
-    got = got.withColumn("seat", F.pmod(F.least(block, F.col("blocks") - 1) * F.col("step") + seed, F.col("blocks")))
+    got = materialize(got.withColumn("block", F.least(block, F.col("blocks") - 1)).select("source", "block", "doc_id", "copy", "n_tokens"), "mix-blocks")
+    # a random permutation of the blocks of a source: the rank of their keyed hashes
+    order = spread_rank(got.select("source", "block").distinct().withColumn("h", F.xxhash64("source", "block", F.lit(seed))), ["source"], ["h", "block"], sum(r[10] for r in plan))
+    # a block is of bounded size, so this join has no hot key
+    got = got.join(order.select("source", "block", (F.col("rank") - 1).alias("seat")), ["source", "block"])
     shards = max(1, math.ceil(sum(r[6] for r in plan) / shard_tokens))
     quotas = shard_quotas(spark, [r[0] for r in plan], [r[10] for r in plan], shards, seed)
     upto = F.sum("n").over(W.partitionBy("source").orderBy("shard"))
@@ -111,7 +106,8 @@ def mix_sources(
         "source", "target_permille", "max_repeats", "docs", "tokens", F.col("want").alias("want_tokens"),
         F.coalesce("got_tokens", F.lit(0)).alias("got_tokens"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.round(F.coalesce("got_tokens", F.lit(0)) * 1000 / F.lit(max(total, 1)), 3).alias("reached_permille"),
-        (F.col("exhausted") & (F.coalesce("got_tokens", F.lit(0)) <= F.col("want"))).alias("short"),
+        # the mix holds every document of the source as often as it may, and that is not enough
+        ((F.coalesce("rows", F.lit(0)) >= F.col("docs") * F.col("max_repeats")) & (F.coalesce("got_tokens", F.lit(0)) * 1000 < F.col("target_permille") * F.lit(total))).alias("short"),
     )
     return {"mix": mix, "report": report}
 

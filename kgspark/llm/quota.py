@@ -94,11 +94,14 @@ def quota_sample(items: DataFrame, targets: DataFrame, seed: int = 42) -> dict[s
     plan_df = spark.createDataFrame(plan, schema)
     total = sum({(p[1], p[2]): p[6] for p in plan}.values())
     ranked = spread_rank(pool.withColumn("h", F.xxhash64("item", "category", F.lit(seed))), ["pool", "category"], ["h", "item"], total)
+    need = F.greatest(F.col("min_rows").cast("bigint"), F.expr("(bigint(target_permille) * sample_size + 999) div 1000"))
+    plan_df = plan_df.withColumn("needed", need)
     # one row per target: bounded by MAX_TARGETS, so the broadcast is too
-    sample = ranked.join(F.broadcast(plan_df.select("plan_id", "pool", "category", "target_permille", "seats")), ["pool", "category"]).where("rank <= seats")
+    drawn = ranked.join(F.broadcast(plan_df.select("plan_id", "pool", "category", "target_permille", "seats", "needed")), ["pool", "category"])
+    sample = drawn.where("rank <= seats")
     sample = sample.select("plan_id", "pool", "category", "item", "rank", F.try_divide(F.col("rank") - 0.5, F.col("target_permille").cast("double")).alias("priority"))
-    need = F.greatest(F.col("min_rows").cast("bigint"), F.expr("(bigint(target_permille) * sample_size + 999) div 1000"))
-    drawn = sample.groupBy("plan_id", "pool", "category").agg(F.count(F.lit(1)).alias("drawn"))
-    report = plan_df.withColumn("needed", need).join(drawn, ["plan_id", "pool", "category"], "left")
-    report = report.withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("short", (F.col("available") < F.col("needed")) & (F.col("drawn") <= F.col("available")))
+    # what the draw gave each target, and what it would give if the target had all the seats it needs
+    got = drawn.groupBy("plan_id", "pool", "category").agg(F.count_if(F.col("rank") <= F.col("seats")).alias("drawn"), F.count_if(F.col("rank") <= F.col("needed")).alias("reachable"))
+    report = plan_df.join(got, ["plan_id", "pool", "category"], "left")
+    report = report.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("drawn", "reachable")}).withColumn("short", F.col("reachable") < F.col("needed"))
     return {"sample": sample, "report": report}
