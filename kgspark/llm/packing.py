@@ -1,13 +1,16 @@
 """Filling fixed-capacity containers by lexical retrieval.
 
-Documents are spread over shards of bounded size.  Each shard is an inverted BM25 index over token ids, weighted by
-the frequencies and mean length of all documents' items, so a score does not depend on the shard: the
-largest unused document seeds a container, the index returns its unused neighbours by score, and they fill
-the window greedily; what no neighbour can fill goes to the largest unused item that fits.  A text above
-the capacity is cut into full pieces and its rest is packed like any item.
+Documents are routed to shards of bounded size by what they are about: a bounded sample of documents serves as anchors,
+every document goes to the cell of the two anchors that BM25 ranks first for it, and cells are put together to shards, or
+cut into several, by their counts.  Each shard is an inverted BM25 index over token ids, weighted by the frequencies and
+mean length of all documents' items, so a score does not depend on the shard: the largest unused document seeds a
+container, the index returns its unused neighbours by score, and they fill the window greedily; what no neighbour can fill
+goes to the largest unused item that fits.  A text above the capacity is cut into full pieces and its rest is packed like
+any item.
 
 Defined results: NULL and empty texts take no room and get one row without container; ties of the score go
-to the smaller position in the shard (order of id); repeated rows are packed each.
+to the smaller position in the shard (order of id); repeated rows are packed each, and many copies of one text are
+spread over as many shards as they fill.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from kgspark.session import materialize, spread
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
+#: Documents that the routing is fitted on, those of the smallest row hash; there are at most its square cells.
+ANCHORS = 128
 _OUT = "container_id bigint, position int, id string, piece_no int, n_pieces int, token_start bigint, n_tokens bigint, score double"
 _CONTAINERS_PER_SHARD = 100_000_000
 
@@ -109,18 +114,94 @@ def _tokenise(vocabulary: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tok = [encode(t, vocabulary).astype(np.int32).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "shard": pdf["shard"], "tok": tok})
+            yield pd.DataFrame({"id": pdf["id"], "salt": pdf["salt"], "tok": tok})
 
     return run
 
 
+def _rest(raw: bytes, capacity: int) -> np.ndarray:
+    """What is left of a text's tokens when its full pieces are cut off."""
+    tok = np.frombuffer(raw, dtype=np.int32)
+    return tok[len(tok) // capacity * capacity :]
+
+
+def anchor_weights(anchors: list[np.ndarray], stats: tuple, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted terms, weight of each in each anchor): BM25 weights by the statistics of all items."""
+    n, mean, terms, count = stats
+    idf = np.maximum(0.0, np.log((n - count + 0.5) / (count + 0.5)))
+    rows: dict[int, np.ndarray] = {}
+    for a, item in enumerate(anchors):
+        own, tf = np.unique(item, return_counts=True)
+        w = idf[np.searchsorted(terms, own)] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(item) / max(mean, 1e-9)))
+        for t, x in zip(own[w > 0].tolist(), w[w > 0], strict=True):
+            rows.setdefault(t, np.zeros(len(anchors), dtype=np.float32))[a] = x
+    known = np.array(sorted(rows), dtype=np.int32)
+    return known, np.stack([rows[t] for t in known.tolist()]) if len(known) else np.zeros((0, max(1, len(anchors))), dtype=np.float32)
+
+
+def cells_of(items: list[np.ndarray], known: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """First anchor * number of anchors + second anchor of every item; 0 where nothing is shared with any."""
+    out = np.zeros(len(items), dtype=np.int64)
+    k = weights.shape[1]
+    for i, x in enumerate(items):
+        if len(x) and len(known):
+            t = np.unique(x)
+            at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+            score = weights[at[known[at] == t]].sum(axis=0)
+            first = int(score.argmax())
+            if score[first] > 0:
+                score[first] = -1.0
+                out[i] = first * k + (int(score.argmax()) if k > 1 else 0)
+    return out
+
+
+def anchor_order(anchors: list[np.ndarray], known: np.ndarray, weights: np.ndarray) -> list[int]:
+    """The anchors in a chain from each to the one most like it, so that neighbouring cells are alike."""
+    if not len(known):
+        return list(range(len(anchors)))
+    rows = []
+    for x in anchors:
+        t = np.unique(x)
+        at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+        rows.append(weights[at[known[at] == t]].sum(axis=0))
+    alike = np.stack(rows)
+    alike = alike + alike.T
+    chain, left = [0], set(range(1, len(anchors)))
+    while left:
+        chain.append(max(left, key=lambda j: (alike[chain[-1], j], -j)))
+        left.discard(chain[-1])
+    return chain
+
+
+def _route(capacity: int, known: np.ndarray, weights: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"salt": pdf["salt"], "cell": cells_of([_rest(x, capacity) for x in pdf["tok"]], known, weights)})
+
+    return run
+
+
+def shard_table(cells: list[tuple[int, int]], shard_docs: int) -> list[tuple[int, int, int]]:
+    """(cell, first shard, shards) from (cell, documents): small cells share a shard with the next ones, large ones get several."""
+    out, shard, room = [], 0, shard_docs
+    for cell, n in sorted(cells):
+        if n > room and room < shard_docs:
+            shard, room = shard + 1, shard_docs
+        many = max(1, -(-n // shard_docs))
+        out.append((cell, shard, many))
+        if many > 1:
+            shard, room = shard + many, shard_docs
+        else:
+            room -= n
+    return out
+
+
 def _rest_terms(capacity: int):
     """(term, n): items each term occurs in; -1 stands for all items, -2 for their tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            items = [x[len(x) // capacity * capacity :] for x in (np.frombuffer(b, dtype=np.int32) for b in pdf["tok"])]
-            items = [x for x in items if len(x)]
+            items = [x for x in (_rest(b, capacity) for b in pdf["tok"]) if len(x)]
             if items:
                 term, n = np.unique(np.concatenate([np.unique(x) for x in items]), return_counts=True)
                 yield pd.DataFrame({"term": np.concatenate((term, [-1, -2])), "n": np.concatenate((n, [len(items), sum(map(len, items))]))})
@@ -172,18 +253,44 @@ def pack_containers(
     vocabulary: str = DEFAULT_VOCABULARY, shard_docs: int = SHARD_DOCS,
 ) -> DataFrame:
     """One row per packed piece: container_id, position, id, piece_no, n_pieces, token_start, n_tokens, score."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    shards = max(1, math.ceil(rows.count() / shard_docs))
-    # rows are spread by id and content, so repeats of an id or of a text do not pile up in one shard's memory
-    shard = F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("int")
-    # one task per shard: its input stays a few megabytes whatever the size of the corpus
-    tokens = spread(rows).withColumn("shard", shard).mapInPandas(_tokenise(vocabulary), "id string, shard int, tok binary")
-    tokens = materialize(tokens, "pack-tokens")
+    spark = docs.sparkSession
+    rows = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
+    # a number of the row, whatever its id and text, decides where copies go; it is stored with the tokens, so it is one
+    rows = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    tokens = materialize(rows.mapInPandas(_tokenise(vocabulary), "id string, salt bigint, tok binary"), "pack-tokens")
     stats = item_stats(tokens, capacity)
-    packed = tokens.repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(capacity, stats), _OUT)
+    anchors = tokens.where("length(tok) > 0").orderBy("salt").limit(ANCHORS).select("tok").collect()
+    known, weights = np.empty(0, np.int32), np.zeros((0, 1), np.float32)
+    if stats:
+        own = [_rest(r["tok"], capacity) for r in anchors]
+        known, weights = anchor_weights(own, stats)
+        weights = np.ascontiguousarray(weights[:, anchor_order(own, known, weights)])
+    routed = materialize(tokens.select("salt", "tok").mapInPandas(_route(capacity, known, weights), "salt bigint, cell bigint"), "pack-cells")
+    cells = [(r["cell"], r["n"]) for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most ANCHORS squared rows
+    table = shard_table(cells, shard_docs)
+    shards = max((first + many for _, first, many in table), default=1)
+    plan = spark.createDataFrame(table, "cell bigint, first int, many int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("salt"), F.col("many"))).cast("int")
+    placed = routed.join(F.broadcast(plan), "cell").select("salt", shard.alias("shard"))
+    # one task per shard: its input stays a few megabytes whatever the size of the corpus
+    packed = tokens.join(placed, "salt").repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(capacity, stats), _OUT)
     return packed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
+def neighbour_share(items: list[np.ndarray], shard: list[int], k: int = 10) -> float:
+    """Share of the ``k`` best BM25 neighbours of every item, among all items, that lie in its shard."""
+    index, at = Bm25Index(items), np.array(shard)
+    found = wanted = 0
+    for i in range(len(items)):
+        score = index.scores(i)
+        score[i] = 0.0
+        best = np.argsort(-score, kind="stable")[:k]
+        best = best[score[best] > 0]
+        wanted += len(best)
+        found += int((at[best] == at[i]).sum())
+    return found / max(1, wanted)
+
+
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, share of the room that is used, pieces, cut documents."""
     per = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"), F.max((F.col("n_pieces") > 1).cast("int")).alias("cut"))
