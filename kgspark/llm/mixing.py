@@ -107,7 +107,7 @@ def mix_sources(
         F.coalesce("got_tokens", F.lit(0)).alias("got_tokens"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.round(F.coalesce("got_tokens", F.lit(0)) * 1000 / F.lit(max(total, 1)), 3).alias("reached_permille"),
         # the mix holds every document of the source as often as it may, and that is not enough
-        ((F.coalesce("rows", F.lit(0)) >= F.col("docs") * F.col("max_repeats")) & (F.coalesce("got_tokens", F.lit(0)) * 1000 < F.col("target_permille") * F.lit(total))).alias("short"),
+        ((F.coalesce("rows", F.lit(0)) >= F.col("docs") * F.col("max_repeats")) & (F.coalesce("got_tokens", F.lit(0)) * 1000 < F.col("target_permille").cast("bigint") * F.lit(total).cast("bigint"))).alias("short"),
     )
     return {"mix": mix, "report": report}
 
