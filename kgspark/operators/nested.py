@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.operators.skew import hot_keys, hot_split_join
 from kgspark.session import materialize, spread
 
 NODES = "line_no bigint, kind string, parent string, ordinal int, hash string, chunk_id string, payload string"
@@ -71,7 +72,9 @@ class _Walker:
     def attempt(self, x: dict, result: dict) -> tuple[str, str]:
         kids = [("entity", i, *self.entity(e)) for i, e in _seats(result.get("entities"))]
         kids += [("relation", i, *self.emit("relation", r, [])) for i, r in _seats(result.get("relations"))]
-        return self.emit("attempt", x | _without(result, "entities", "relations"), kids)
+        # what the result holds beside its items stays apart: a field of the same name is not the attempt's
+        rest = _without(result, "entities", "relations")
+        return self.emit("attempt", x | ({"result": rest} if rest else {}), kids)
 
     def record(self, x: dict) -> tuple[str, str, str | None]:
         own = x
@@ -134,23 +137,40 @@ def _children(t: dict[str, DataFrame], parents: DataFrame, parent_col: str, kind
 
 
 def _payload(t: dict[str, DataFrame], rows: DataFrame, hash_col: str, kind: str, **fields: str) -> DataFrame:
-    objects = t["objects"].where(F.col("kind") == kind).select(F.col("hash").alias(hash_col), "payload")
-    got = rows.join(objects, hash_col)
-    return got.select(*rows.columns, *[F.get_json_object("payload", f"$.{path}").alias(n) for n, path in fields.items()])
+    """``rows`` with fields of their objects.  One object may be carried by a tenth of all rows, so hot objects are split off."""
+    objects = t["objects"].where(F.col("kind") == kind).select(F.col("hash").alias(hash_col), *[F.get_json_object("payload", f"$.{path}").alias(n) for n, path in fields.items()])
+    return hot_split_join(rows, objects, hash_col)
 
 
 def flat_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """attempts, entities, relations and spans: every occurrence, each with the way to its parents."""
-    attempts = _children(t, t["lines"], "record_hash", "attempt", "attempt_pos", "attempt_hash")
-    base = attempts.select("line_no", "chunk_id", "attempt_pos", "attempt_hash")
-    entities = _children(t, base, "attempt_hash", "entity", "item_pos", "entity_hash")
-    relations = _children(t, base, "attempt_hash", "relation", "item_pos", "relation_hash")
-    spans = _children(t, entities, "entity_hash", "span", "sub_pos", "span_hash")
+    """attempts, entities, relations and spans: every occurrence, each with the way to its parents.
+
+    The bridge is walked once for every distinct record.  The last step goes from records to the lines that hold them;
+    a record that makes up a third of all lines is split off there.
+    """
+    records = t["lines"].select("record_hash").distinct()
+    attempts = materialize(_children(t, records, "record_hash", "attempt", "attempt_pos", "attempt_hash"), "nested-attempts")
+    entities = materialize(_children(t, attempts, "attempt_hash", "entity", "item_pos", "entity_hash"), "nested-entities")
+    relations = materialize(_children(t, attempts, "attempt_hash", "relation", "item_pos", "relation_hash"), "nested-relations")
+    spans = materialize(_children(t, entities, "entity_hash", "span", "sub_pos", "span_hash"), "nested-spans")
+    lines = t["lines"]
+    hot = hot_keys(lines, "record_hash").select("record_hash")
+    cold = lines.join(F.broadcast(hot), "record_hash", "left_anti")  # at most 1 / fraction hot records
+
+    def occurrences(rows: DataFrame, *cols: str) -> DataFrame:
+        few = F.broadcast(rows.join(F.broadcast(hot), "record_hash", "left_semi"))  # the items of the hot records
+        both = lines.join(few, "record_hash").unionByName(cold.join(rows, "record_hash"))
+        return both.select("line_no", "chunk_id", *cols)
+
+    a = _payload(t, attempts, "attempt_hash", "attempt", n="n", status="status", seconds="seconds")
+    e = _payload(t, entities, "entity_hash", "entity", text="text", type="type")
+    r = _payload(t, relations, "relation_hash", "relation", subject="subject", relation="relation", object="object")
+    s = _payload(t, spans, "span_hash", "span", surface="surface", start="start", end="end")
     return {
-        "attempts": _payload(t, attempts, "attempt_hash", "attempt", n="n", status="status", seconds="seconds"),
-        "entities": _payload(t, entities, "entity_hash", "entity", text="text", type="type"),
-        "relations": _payload(t, relations, "relation_hash", "relation", subject="subject", relation="relation", object="object"),
-        "spans": _payload(t, spans, "span_hash", "span", surface="surface", start="start", end="end"),
+        "attempts": occurrences(a, "record_hash", "attempt_pos", "attempt_hash", "n", "status", "seconds"),
+        "entities": occurrences(e, "attempt_pos", "attempt_hash", "item_pos", "entity_hash", "text", "type"),
+        "relations": occurrences(r, "attempt_pos", "attempt_hash", "item_pos", "relation_hash", "subject", "relation", "object"),
+        "spans": occurrences(s, "attempt_pos", "item_pos", "entity_hash", "sub_pos", "span_hash", "surface", "start", "end"),
     }
 
 

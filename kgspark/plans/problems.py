@@ -59,7 +59,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flat(name: str):
-    return lambda spark, sf: nested.flat_tables(_tables(spark, sf))[name]
+    """A flat table with the places that lead to its parents; the identities are left to ``p4_objects`` and ``p4_bridge``."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = nested.flat_tables(_tables(spark, sf))[name]
+        return df.select(*[c for c in df.columns if not c.endswith("_hash")])
+
+    return run
 
 
 def _merkle(name: str):
@@ -100,6 +106,43 @@ tc AS (SELECT key_kind, key_value, type, count(*) AS n FROM (SELECT key_kind, ke
 t AS (SELECT key_kind, key_value, count(*) AS types, arg_min(type, (-n, type)) AS top_type FROM tc GROUP BY ALL)
 """
 
+_SPACE = "'\ufeff \t' || chr(13) || chr(10) || chr(11) || chr(12) || chr(160)"
+_SEATS = "CASE json_type({0}) WHEN 'ARRAY' THEN range(json_array_length({0})::BIGINT) WHEN 'OBJECT' THEN [0] ELSE [] END"
+_AT = "CASE WHEN json_type({0}) = 'ARRAY' THEN json_extract({0}, '$[' || {1} || ']') ELSE {0} END"
+
+
+def _object(x: str) -> str:
+    """A JSON value as an object: text is parsed, anything else that is no object is an empty one."""
+    parsed = f"({x} ->> '$')"
+    return f"CASE WHEN json_type({x}) = 'OBJECT' THEN {x} WHEN json_type({x}) = 'VARCHAR' AND json_valid({parsed}) AND json_type({parsed}) = 'OBJECT' THEN json({parsed}) ELSE json('{{}}') END"
+
+
+def _result(of: str) -> str:
+    """The object that holds the items of ``of``, a table with JSON columns result, entities and relations; NULL if it holds nothing."""
+    own = "CASE WHEN {0}_r IS NOT NULL AND json_type({0}_r) <> 'NULL' THEN {1} WHEN {0}_e IS NOT NULL OR {0}_l IS NOT NULL THEN json_object('entities', {0}_e, 'relations', {0}_l) ELSE json('{{}}') END"
+    return own.format(of, _object(f"{of}_r"))
+
+
+_P4 = f"""
+WITH l AS (SELECT line_no, rtrim(ltrim(raw, {_SPACE}), chr(0) || {_SPACE}) AS s FROM extraction_runs WHERE raw IS NOT NULL AND line_no IS NOT NULL),
+j AS (SELECT line_no, json(s) AS j FROM l WHERE json_valid(s) AND json_type(s) = 'OBJECT'),
+w AS (SELECT line_no, j, CASE WHEN json_type(j, '$.record') = 'OBJECT' THEN j -> '$.record' END AS i FROM j),
+o AS (SELECT line_no, {", ".join(f"coalesce(i -> '$.{c}', j -> '$.{c}') AS own_{k}" for c, k in (("chunk_id", "c"), ("run", "u"), ("attempts", "a"), ("result", "r"), ("entities", "e"), ("relations", "l")))} FROM w),
+p AS (SELECT *, CASE WHEN json_type(own_u) = 'OBJECT' THEN own_u ELSE json('{{}}') END AS u FROM o),
+q AS (SELECT *, u -> '$.result' AS run_r, u -> '$.entities' AS run_e, u -> '$.relations' AS run_l, coalesce(u -> '$.attempts', own_a) AS a, CASE WHEN json_type(own_c) = 'VARCHAR' THEN own_c ->> '$' END AS chunk_id FROM p),
+b AS (SELECT line_no, chunk_id, a, unnest({_SEATS.format("a")}) AS attempt_pos FROM q WHERE a IS NOT NULL AND json_type(a) <> 'NULL'),
+c AS (SELECT line_no, chunk_id, attempt_pos, {_AT.format("a", "attempt_pos")} AS x FROM b),
+d AS (SELECT line_no, chunk_id, attempt_pos, x, x -> '$.result' AS at_r, x -> '$.entities' AS at_e, x -> '$.relations' AS at_l FROM c WHERE json_type(x) = 'OBJECT'),
+t AS (SELECT line_no, chunk_id, attempt_pos, x, {_result("at")} AS res FROM d
+UNION ALL SELECT line_no, chunk_id, 0, u, CASE WHEN ({_result("own")})::VARCHAR <> '{{}}' THEN {_result("own")} ELSE {_result("run")} END FROM q WHERE a IS NULL OR json_type(a) = 'NULL'),
+e0 AS (SELECT line_no, chunk_id, attempt_pos, res -> '$.entities' AS a FROM t), e1 AS (SELECT *, unnest({_SEATS.format("a")}) AS item_pos FROM e0),
+e AS (SELECT line_no, chunk_id, attempt_pos, item_pos, x FROM (SELECT *, {_AT.format("a", "item_pos")} AS x FROM e1) WHERE json_type(x) = 'OBJECT'),
+r0 AS (SELECT line_no, chunk_id, attempt_pos, res -> '$.relations' AS a FROM t), r1 AS (SELECT *, unnest({_SEATS.format("a")}) AS item_pos FROM r0),
+r AS (SELECT line_no, chunk_id, attempt_pos, item_pos, x FROM (SELECT *, {_AT.format("a", "item_pos")} AS x FROM r1) WHERE json_type(x) = 'OBJECT'),
+s0 AS (SELECT line_no, chunk_id, attempt_pos, item_pos, x -> '$.spans' AS a FROM e), s1 AS (SELECT *, unnest({_SEATS.format("a")}) AS sub_pos FROM s0),
+s AS (SELECT line_no, chunk_id, attempt_pos, item_pos, sub_pos, x FROM (SELECT *, {_AT.format("a", "sub_pos")} AS x FROM s1) WHERE json_type(x) = 'OBJECT')
+"""
+
 ORACLES = {
     "p3_keys": _P3
     + """SELECT a.key_kind, a.key_value, mentions, records, median_per_record, max_per_record, first_at, last_at,
@@ -108,4 +151,12 @@ coalesce(types, 0) AS types, top_type FROM a LEFT JOIN t ON a.key_kind = t.key_k
     + """SELECT key_kind, key_value FROM a WHERE
 CASE WHEN key_kind = 'entity' THEN mentions ELSE records END * 100 >=
 CASE WHEN key_kind = 'entity' THEN (SELECT sum(coalesce(len(entities), 0)) FROM extractions) ELSE (SELECT count(*) FROM extractions) END""",
+    "p4_attempts": _P4 + "SELECT line_no, chunk_id, attempt_pos::INT AS attempt_pos, x ->> '$.n' AS n, x ->> '$.status' AS status, x ->> '$.seconds' AS seconds FROM t",
+    "p4_entities": _P4 + "SELECT line_no, chunk_id, attempt_pos::INT AS attempt_pos, item_pos::INT AS item_pos, x ->> '$.text' AS text, x ->> '$.type' AS type FROM e",
+    "p4_relations": _P4 + "SELECT line_no, chunk_id, attempt_pos::INT AS attempt_pos, item_pos::INT AS item_pos, x ->> '$.subject' AS subject, x ->> '$.relation' AS relation, x ->> '$.object' AS object FROM r",
+    "p4_spans": _P4 + """SELECT line_no, chunk_id, attempt_pos::INT AS attempt_pos, item_pos::INT AS item_pos, sub_pos::INT AS sub_pos, x ->> '$.surface' AS surface, x ->> '$.start' AS start, x ->> '$.end' AS "end" FROM s""",
+    "p4_found": _P4
+    + """SELECT DISTINCT line_no, attempt_pos::INT AS attempt_pos, 'entity' AS item_kind, item_pos::INT AS item_pos, -1 AS sub_pos, coalesce(x ->> '$.text', '') AS item_text FROM e
+UNION ALL SELECT DISTINCT line_no, attempt_pos::INT, 'relation', item_pos::INT, -1, coalesce(x ->> '$.subject', '') FROM r
+UNION ALL SELECT DISTINCT line_no, attempt_pos::INT, 'span', item_pos::INT, sub_pos::INT, coalesce(x ->> '$.surface', '') FROM s""",
 }

@@ -142,3 +142,26 @@ def test_deep_and_long_lines(spark):
     t = nested.merkle_tables(spark.createDataFrame([(1, deep), (2, long)], "line_no bigint, raw string"))
     got = nested.found_items(t).where("line_no = 2").collect()
     assert len(got) == 20 and len(got[0]["item_text"]) == 300_000 and t["objects"].where("kind = 'entity'").count() <= 2
+
+
+def test_a_record_that_is_a_third_of_all_lines(spark):
+    hot = '{"chunk_id": "h", "attempts": [{"n": 1, "result": {"entities": [{"text": "a", "spans": [{"surface": "s"}]}, {"text": "b"}]}}]}'
+    rows = [(i, hot) for i in range(1000)] + [(1000 + i, hot.replace('"a"', f'"x{i}"')) for i in range(2000)]
+    t = nested.merkle_tables(spark.createDataFrame(rows, "line_no bigint, raw string"))
+    flat = nested.flat_tables(t)
+    assert {k: v.count() for k, v in flat.items()} == {"attempts": 3000, "entities": 6000, "relations": 0, "spans": 3000}
+    assert flat["entities"].where("text = 'b'").select("line_no").distinct().count() == 3000
+    assert t["objects"].where("kind = 'entity'").count() == 2002 and t["bridge"].where("kind = 'span'").count() == 2001
+
+
+def test_a_result_keeps_its_own_fields(spark):
+    t = nested.merkle_tables(spark.createDataFrame([(1, '{"attempts": [{"status": "ok", "result": {"status": "other", "entities": []}}]}')], "line_no bigint, raw string"))
+    assert nested.flat_tables(t)["attempts"].first()["status"] == "ok"
+
+
+def test_global_rank(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 101).alias("k"), "id").repartition(7)
+    got = [r["id"] for r in skew.global_rank(df, [F.desc("k"), F.col("id")]).orderBy("rank").collect()]
+    assert got == [r["id"] for r in df.orderBy(F.desc("k"), "id").collect()]
+    assert sorted(r["rank"] for r in skew.global_rank(df, [F.col("id")]).collect()) == list(range(1, 5001))
+    assert skew.global_rank(df.limit(0), [F.col("id")]).count() == 0
