@@ -29,8 +29,9 @@ from kgspark.session import materialize, spread
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
-#: Documents that the routing is fitted on, those of the smallest row hash; there are at most its square cells.
-ANCHORS = 128
+#: The routing is fitted on a sample of rows, those of the smallest row hash among texts of up to so many characters; the first
+#: of them are the anchors, and there are at most as many cells as the square of their number.
+SAMPLE, SAMPLE_CHARS, ANCHORS = 512, 100_000, 128
 _OUT = "container_id bigint, position int, id string, piece_no int, n_pieces int, token_start bigint, n_tokens bigint, score double"
 _CONTAINERS_PER_SHARD = 100_000_000
 
@@ -110,15 +111,6 @@ def pack(items: list[np.ndarray], capacity: int, stats: tuple | None = None) ->
     return out
 
 
-def _tokenise(vocabulary: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            tok = [encode(t, vocabulary).astype(np.int32).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "salt": pdf["salt"], "tok": tok})
-
-    return run
-
-
 def _rest(raw: bytes, capacity: int) -> np.ndarray:
     """What is left of a text's tokens when its full pieces are cut off."""
     tok = np.frombuffer(raw, dtype=np.int32)
@@ -126,7 +118,7 @@ def _rest(raw: bytes, capacity: int) -> np.ndarray:
 
 
 def anchor_weights(anchors: list[np.ndarray], stats: tuple, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted terms, weight of each in each anchor): BM25 weights by the statistics of all items."""
+    """(sorted terms, weight of each in each anchor): BM25 weights by the statistics of the items the routing is fitted on."""
     n, mean, terms, count = stats
     idf = np.maximum(0.0, np.log((n - count + 0.5) / (count + 0.5)))
     rows: dict[int, np.ndarray] = {}
@@ -173,10 +165,25 @@ def anchor_order(anchors: list[np.ndarray], known: np.ndarray, weights: np.ndarr
     return chain
 
 
-def _route(capacity: int, known: np.ndarray, weights: np.ndarray):
+def statistics(items: list[np.ndarray]) -> tuple:
+    """(items, mean length, sorted terms, their item counts), as ``Bm25Index`` takes them."""
+    items = [x for x in items if len(x)]
+    term, n = np.unique(np.concatenate([np.unique(x) for x in items]), return_counts=True) if items else (np.empty(0, np.int32), np.empty(0, np.int64))
+    return len(items), sum(map(len, items)) / max(1, len(items)), term, n
+
+
+def fit_routing(sample: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of the anchors among a sample of items, in a chain of likeness."""
+    anchors = [x for x in sample if len(x)][:ANCHORS]
+    known, weights = anchor_weights(anchors, statistics(sample))
+    return known, np.ascontiguousarray(weights[:, anchor_order(anchors, known, weights)]) if anchors else weights
+
+
+def _tokenise(vocabulary: str, capacity: int, known: np.ndarray, weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"salt": pdf["salt"], "cell": cells_of([_rest(x, capacity) for x in pdf["tok"]], known, weights)})
+            tok = [encode(t, vocabulary).astype(np.int32).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "salt": pdf["salt"], "cell": cells_of([_rest(x, capacity) for x in tok], known, weights), "tok": tok})
 
     return run
 
@@ -257,23 +264,18 @@ def pack_containers(
     rows = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     # a number of the row, whatever its id and text, decides where copies go; it is stored with the tokens, so it is one
     rows = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
-    tokens = materialize(rows.mapInPandas(_tokenise(vocabulary), "id string, salt bigint, tok binary"), "pack-tokens")
+    sample = rows.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy("salt").limit(SAMPLE).select("text").collect()
+    known, weights = fit_routing([_rest(encode(r["text"], vocabulary).astype(np.int32).tobytes(), capacity) for r in sample])
+    tokens = materialize(rows.mapInPandas(_tokenise(vocabulary, capacity, known, weights), "id string, salt bigint, cell bigint, tok binary"), "pack-tokens")
     stats = item_stats(tokens, capacity)
-    anchors = tokens.where("length(tok) > 0").orderBy("salt").limit(ANCHORS).select("tok").collect()
-    known, weights = np.empty(0, np.int32), np.zeros((0, 1), np.float32)
-    if stats:
-        own = [_rest(r["tok"], capacity) for r in anchors]
-        known, weights = anchor_weights(own, stats)
-        weights = np.ascontiguousarray(weights[:, anchor_order(own, known, weights)])
-    routed = materialize(tokens.select("salt", "tok").mapInPandas(_route(capacity, known, weights), "salt bigint, cell bigint"), "pack-cells")
-    cells = [(r["cell"], r["n"]) for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most ANCHORS squared rows
+    cells = [(r["cell"], r["n"]) for r in tokens.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most ANCHORS squared rows
     table = shard_table(cells, shard_docs)
     shards = max((first + many for _, first, many in table), default=1)
     plan = spark.createDataFrame(table, "cell bigint, first int, many int")
-    shard = (F.col("first") + F.pmod(F.xxhash64("salt"), F.col("many"))).cast("int")
-    placed = routed.join(F.broadcast(plan), "cell").select("salt", shard.alias("shard"))
+    shard = (F.col("first") + F.pmod("salt", F.col("many"))).cast("int")
     # one task per shard: its input stays a few megabytes whatever the size of the corpus
-    packed = tokens.join(placed, "salt").repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(capacity, stats), _OUT)
+    placed = tokens.join(F.broadcast(plan), "cell").select("id", "tok", shard.alias("shard"))
+    packed = placed.repartition(shards, "shard").groupBy("shard").applyInPandas(_pack_shard(capacity, stats), _OUT)
     return packed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
