@@ -382,7 +382,8 @@ def ngram_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     near = met.where(F.col("dot") + F.col("rest") >= cosine - 1e-9).select("a", "b")
     vectors = weighted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
     both = near.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
+    shared = F.map_values(F.map_zip_with("va", "vb", lambda k, x, y: F.coalesce(x * y, F.lit(0.0))))  # by hashing, not by a scan for every gram
+    dot = F.aggregate(shared, F.lit(0.0), lambda acc, x: acc + x)
     return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= cosine)
 
 
@@ -540,13 +541,15 @@ def common_words(nodes: DataFrame) -> frozenset[str]:
 def link_names(names: DataFrame, name_types: tuple[str, ...] = NAME_TYPES) -> DataFrame:
     """(key, kind, mentions, cluster) for every distinct spelling (column ``key``, in key form, NULLs ignored) of a person, body or act.
 
-    A column ``type`` tells what the mentions were taken for; without it every text that can be a name is one.
+    A column ``type`` tells what the mentions were taken for; without it every text that can be a name is one.  A column
+    ``n`` tells how many mentions a row stands for.
     """
     spark = names.sparkSession
     types_given = "type" in names.columns
     kind = F.upper(F.trim("type")) if types_given else F.lit(None).cast("string")
-    rows = names.select("key", kind.alias("t")).where("key <> ''")
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("mentions"), F.count_if(F.col("t").isin(*name_types)).alias("yes"), F.count_if(F.col("t") != "").alias("typed"))
+    rows = names.select("key", kind.alias("t"), (F.col("n") if "n" in names.columns else F.lit(1)).cast("bigint").alias("n")).where("key <> ''")
+    sum_if = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    keys = rows.groupBy("key").agg(F.sum("n").alias("mentions"), sum_if(F.col("t").isin(*name_types)).alias("yes"), sum_if(F.col("t") != "").alias("typed"))
     parsed = materialize(keys.mapInPandas(_parse, _PARSED), "name-keys")
     parsed = _names_among(parsed, types_given)
     # an acronym stands for the body that is most often written beside it

@@ -14,9 +14,11 @@ from kgspark.session import read_table
 # --- 1: names
 def _names(spark: SparkSession, sf: str) -> DataFrame:
     ex = read_table(spark, sf, "extractions").select("entities", "relations")
-    ent = ex.select(F.explode("entities").alias("e")).select(key_form("e.text").alias("key"), "e.type")
-    rel = ex.select(F.explode("relations").alias("r")).select(F.explode(F.array("r.subject", "r.object")).alias("t")).select(key_form("t").alias("key"), F.lit(None).cast("string").alias("type"))
-    return ent.unionByName(rel)
+    ent = ex.select(F.explode("entities").alias("e")).select(F.col("e.text").alias("raw"), "e.type")
+    rel = ex.select(F.explode("relations").alias("r")).select(F.explode(F.array("r.subject", "r.object")).alias("raw"), F.lit(None).cast("string").alias("type"))
+    # equal texts first, so that the key form is made once for each
+    each = ent.unionByName(rel).groupBy("raw", "type").agg(F.count(F.lit(1)).alias("n"))
+    return each.select(key_form("raw").alias("key"), "type", "n")
 
 
 def p1_links(spark: SparkSession, sf: str) -> DataFrame:
