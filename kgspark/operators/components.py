@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.session import materialize
+from kgspark.session import forget, materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every node of ``edges``; the component is its smallest node id.
 
     Every round takes the smallest label among the neighbours (map-side combined, so a hub does not make
     one slow task) and then follows the label of the label, which halves long chains.  Labels live in
-    tables of the shared folder; nothing but one count per round reaches the driver.  Self-loops and
-    repeated edges are harmless, NULL ends are dropped, an empty edge table gives an empty result.
+    tables of the shared folder, of which only the last is kept; nothing but one count per round reaches the
+    driver.  Self-loops and repeated edges are harmless, NULL ends are dropped, an empty edge table gives an
+    empty result.  Labels only ever become smaller, so the rounds end by themselves.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "cc-edges")
+    both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
-    labels = materialize(labels, "cc-0")
-    for i in range(1, max_rounds + 1):
+    held = materialize(labels, "cc-0")
+    for i in count(1):
+        labels = held.select("id", "component")
         near = (
             both.join(labels.select(F.col("id").alias("b"), "component"), "b")
             .groupBy("a").agg(F.min("component").alias("near"))
@@ -30,7 +33,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         parent = labels.select(F.col("id").alias("c"), F.col("component").alias("jump"))
         step = step.join(parent, "c").select("id", F.least("c", "jump").alias("component"), (F.least("c", "jump") != F.col("old")).alias("changed"))
         step = materialize(step, f"cc-{i}")
-        labels = step.select("id", "component")
+        forget(held)
+        held = step
         if not step.where("changed").limit(1).count():
-            return labels
-    raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+            forget(both)
+            return step.select("id", "component")

@@ -75,7 +75,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
         atexit.register(drop_stages)
     path = f"{run}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table of a stage that nothing will read again, so that an iteration's disk does not grow with its rounds."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions_for(df: DataFrame, task_bytes: int = 64 << 20) -> int:
+    """Tasks for a sort or shuffle of ``df``: what the session says, or more where the optimizer's size of it asks for more."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // task_bytes, 1_000_000))
 
 
 def drop_stages() -> None:
