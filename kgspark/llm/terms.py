@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.session import partitions_for
+
 _PARTS = "part int, field_name string, field_value string, n bigint, docs bigint, first_rec string, last_rec string"
 _NAMES = [x.split()[0] for x in _PARTS.split(", ")]
 
@@ -77,8 +79,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_frequencies(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
     """(field_name, field_value, occurrences, records) from rows of (field_name, field_value, record, row_id)."""
-    spark = pairs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(pairs)
     keyed = pairs.select(
         "field_name", F.coalesce("field_value", F.lit("")).alias("field_value"), F.coalesce(F.concat(F.lit("r"), F.col("record")), F.lit("")).alias("rec"), "row_id"
     )
