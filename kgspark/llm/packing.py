@@ -65,13 +65,20 @@ class Bm25Index:
         self.post_at = np.searchsorted(term[order], np.arange(len(terms) + 1))
 
     def scores(self, q: int) -> np.ndarray:
-        """BM25 score of every item for item ``q`` as the query."""
-        terms = self.query_terms[self.query_at[q] : self.query_at[q + 1]]
-        lo, n = self.post_at[terms], self.post_at[terms + 1] - self.post_at[terms]
-        if not n.sum():
+        """BM25 score of every item (that has not been dropped) for item ``q`` as the query."""
+        at, items, weights = self.post_at, [], []
+        for t in self.query_terms[self.query_at[q] : self.query_at[q + 1]].tolist():
+            items.append(self.post_item[at[t] : at[t + 1]])
+            weights.append(self.post_weight[at[t] : at[t + 1]])
+        if not items:
             return np.zeros(self.n)
-        idx = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.bincount(self.post_item[idx], weights=self.post_weight[idx], minlength=self.n)
+        return np.bincount(np.concatenate(items), weights=np.concatenate(weights), minlength=self.n)
+
+    def drop(self, keep: np.ndarray) -> None:
+        """Take the items out of the postings that ``keep`` (one truth value per item) says no to; they score 0 from now on."""
+        left = keep[self.post_item]
+        self.post_at = np.concatenate(([0], np.cumsum(left)))[self.post_at]
+        self.post_item, self.post_weight = self.post_item[left], self.post_weight[left]
 
 
 def pack(items: list[np.ndarray], capacity: int, stats: tuple | None = None) -> list[list[tuple[int, float]]]:
@@ -85,8 +92,11 @@ def pack(items: list[np.ndarray], capacity: int, stats: tuple | None = None) ->
         unused[i] = False
         by_size.pop(bisect_right(by_size, (int(size[i]), -i)) - 1)
 
-    out = []
+    out, posted = [], len(by_size)
     while by_size:
+        if 4 * len(by_size) < 3 * posted:  # a quarter of the postings is of items already used
+            index.drop(unused)
+            posted = len(by_size)
         seed = -by_size[-1][1]
         use(seed)
         room, members = capacity - int(size[seed]), [(seed, 0.0)]
@@ -135,11 +145,13 @@ def cells_of(items: list[np.ndarray], known: np.ndarray, weights: np.ndarray) ->
     """First anchor * number of anchors + second anchor of every item; 0 where nothing is shared with any."""
     out = np.zeros(len(items), dtype=np.int64)
     k = weights.shape[1]
+    row = np.full(1 + max([int(known[-1]) if len(known) else 0, *(int(x.max()) for x in items if len(x))]), -1, dtype=np.int32)
+    row[known] = np.arange(len(known), dtype=np.int32)
     for i, x in enumerate(items):
-        if len(x) and len(known):
-            t = np.unique(x)
-            at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-            score = weights[at[known[at] == t]].sum(axis=0)
+        at = row[x]
+        at = at[at >= 0]
+        if len(at):
+            score = weights[at].sum(axis=0)
             first = int(score.argmax())
             if score[first] > 0:
                 score[first] = -1.0
