@@ -344,20 +344,20 @@ def table_plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -
     return bits, tables, radius
 
 
-def _keys(bits: int, tables: int, seed: int):
+def _masks(bits: int, tables: int, seed: int) -> list[tuple[int, int]]:
+    """The sample of bits that each table keys on, as masks of the two halves of a fingerprint."""
     rng = np.random.default_rng(seed)
-    picks = [rng.choice(BITS, size=bits, replace=False) for _ in range(tables)]
+    out = []
+    for _ in range(tables):
+        mask = sum(1 << int(x) for x in rng.choice(BITS, size=bits, replace=False))
+        out.append(tuple((h ^ (1 << 63)) - (1 << 63) for h in (mask & (2**64 - 1), mask >> 64)))
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = 1 << np.arange(bits, dtype=np.int64)
-        for pdf in batches:
-            f = np.ascontiguousarray(pdf[["f1", "f2"]].to_numpy(dtype=np.int64))
-            b = np.unpackbits(f.view(np.uint8), axis=1)
-            for t, pick in enumerate(picks):
-                key = b[:, pick].astype(np.int64) @ weight
-                yield pd.DataFrame({"bucket": key * 4096 + t, "id": pdf["cid"], "f1": f[:, 0], "f2": f[:, 1]})
 
-    return run
+def keyed(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """(bucket, id, f1, f2) of every class and table; made in the JVM."""
+    keys = [F.xxhash64(F.col("f1").bitwiseAND(m1), F.col("f2").bitwiseAND(m2), F.lit(t)) for t, (m1, m2) in enumerate(_masks(bits, tables, seed))]
+    return classes.select(F.explode(F.array(*keys)).alias("bucket"), F.col("cid").alias("id"), "f1", "f2")
 
 
 def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,13 +388,16 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
+def _apart(a: str, b: str):
+    return F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1"))) + F.bit_count(F.col(f"{a}.f2").bitwiseXOR(F.col(f"{b}.f2")))
+
+
 def near_classes(classes: DataFrame, name: str, seed: int) -> DataFrame:
     """(a, b), a < b: classes (cid, f1, f2) that meet in a SimHash table and lie within the Hamming radius."""
     bits, tables, radius = table_plan(classes.count())
-    keyed = classes.select("cid", "f1", "f2").mapInPandas(_keys(bits, tables, seed), "bucket bigint, id bigint, f1 bigint, f2 bigint")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    apart = F.bit_count(F.col("a.f1").bitwiseXOR(F.col("b.f1"))) + F.bit_count(F.col("a.f2").bitwiseXOR(F.col("b.f2")))
-    near = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (apart <= radius))
+    rows = keyed(classes, bits, tables, seed)
+    a, b = rows.alias("a"), rows.alias("b")
+    near = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (_apart("a", "b") <= radius))
     return materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), name)
 
 
