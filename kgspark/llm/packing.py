@@ -29,8 +29,8 @@ from kgspark.session import materialize, spread
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
-#: The routing is fitted on a sample of rows, those of the smallest row hash among texts of up to so many characters; the first
-#: of them are the anchors, and there are at most as many cells as the square of their number.
+#: The routing is fitted on a sample of about so many rows, those of the smallest row hash among texts of up to so many
+#: characters; the first of them are the anchors, and there are at most as many cells as the square of their number.
 SAMPLE, SAMPLE_CHARS, ANCHORS = 512, 100_000, 128
 _OUT = "container_id bigint, position int, id string, piece_no int, n_pieces int, token_start bigint, n_tokens bigint, score double"
 _CONTAINERS_PER_SHARD = 100_000_000
@@ -276,8 +276,10 @@ def pack_containers(
     rows = spread(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")))
     # a number of the row, whatever its id and text, decides where copies go; it is stored with the tokens, so it is one
     rows = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
-    sample = rows.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy("salt").limit(SAMPLE).select("text").collect()
-    known, weights = fit_routing([_rest(encode(r["text"], vocabulary).astype(np.int32).tobytes(), capacity) for r in sample])
+    # the row hashes below a threshold: about SAMPLE rows of the whole table, without an order
+    least = -(2**63) + min(2**64 - 1, 2**64 * SAMPLE // max(1, docs.count()))
+    sample = rows.where((F.col("salt") <= least) & F.length("text").between(1, SAMPLE_CHARS)).select("salt", "text").collect()
+    known, weights = fit_routing([_rest(encode(r["text"], vocabulary).astype(np.int32).tobytes(), capacity) for r in sorted(sample, key=lambda r: r["salt"])])
     tokens = materialize(rows.mapInPandas(_tokenise(vocabulary, capacity, known, weights), "id string, salt bigint, cell bigint, tok binary"), "pack-tokens")
     stats = item_stats(tokens, capacity)
     cells = [(r["cell"], r["n"]) for r in tokens.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most ANCHORS squared rows
