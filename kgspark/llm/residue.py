@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,8 @@ from kgspark.operators.skew import hot_split_join
 from kgspark.session import materialize, spread
 
 SHINGLE, SIMILARITY, BITS, RECALL = 5, 0.8, 128, 0.93
+#: Classes in a bucket from which on a link to the bucket's first class stands for those among its near ones.
+HOT_BUCKET = 128
 #: A page of at most so many words (navigation left out) may be a message that stands alone.
 PAGE_WORDS = 40
 
@@ -392,13 +394,43 @@ def _apart(a: str, b: str):
     return F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1"))) + F.bit_count(F.col(f"{a}.f2").bitwiseXOR(F.col(f"{b}.f2")))
 
 
-def near_classes(classes: DataFrame, name: str, seed: int) -> DataFrame:
-    """(a, b), a < b: classes (cid, f1, f2) that meet in a SimHash table and lie within the Hamming radius."""
+def _pairs(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a < b: classes of two keyed tables in one bucket within the Hamming radius; either side may hold the smaller id."""
+    x, y = left.alias("x"), right.alias("y")
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") != F.col("y.id")) & (_apart("x", "y") <= radius))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def near_classes(classes: DataFrame, name: str, seed: int, sets: Callable[[DataFrame], DataFrame], star: bool = False) -> DataFrame:
+    """(a, b, similarity), a < b: classes (cid, f1, f2) that meet in a SimHash table, lie within the Hamming radius and are similar.
+
+    ``sets`` gives the shingle sets (cid, s) of a table of ids (cid).  With ``star``, which keeps the components but not
+    every link, the classes of a hot bucket are held against its first class alone, and only those that are not
+    similar to it against all others: m near copies of one page cost m links instead of m squared.
+    """
     bits, tables, radius = table_plan(classes.count())
     rows = keyed(classes, bits, tables, seed)
-    a, b = rows.alias("a"), rows.alias("b")
-    near = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (_apart("a", "b") <= radius))
-    return materialize(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), name)
+    if not star:
+        near = materialize(_pairs(rows, rows, radius), f"{name}-near")
+        return materialize(verified(near, sets(_ids(near))), f"{name}-pairs")
+    first = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "f1", "f2")).alias("m")).where(F.col("n") >= HOT_BUCKET)
+    first = materialize(first.select("bucket", "m.*"), f"{name}-first")  # at most tables / HOT_BUCKET rows per class
+    cold = rows.join(first.select("bucket"), "bucket", "left_anti")
+    hot = materialize(rows.join(first.select("bucket"), "bucket", "left_semi"), f"{name}-hot")
+    near = materialize(_pairs(cold, cold, radius).unionByName(_pairs(hot, first, radius)).distinct(), f"{name}-near")
+    pairs = materialize(verified(near, sets(_ids(near))), f"{name}-pairs")
+    if not first.limit(1).count():
+        return pairs
+    # what a bucket's first class does not stand for
+    to_first = hot.join(first.select("bucket", F.col("id").alias("f")), "bucket")
+    linked = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    alone = to_first.where("id <> f").join(linked.select(F.col("a").alias("id"), F.col("b").alias("f")), ["id", "f"], "left_anti").select("bucket", "id", "f1", "f2")
+    more = materialize(_pairs(alone, hot, radius).join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
+    return materialize(pairs.unionByName(verified(more, sets(_ids(more)))), f"{name}-all-pairs")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
 
 
 def verified(near: DataFrame, sets: DataFrame) -> DataFrame:
@@ -409,7 +441,7 @@ def verified(near: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
 
-def near_duplicates(docs: DataFrame, seed: int = 7) -> dict[str, DataFrame]:
+def near_duplicates(docs: DataFrame, seed: int = 7, star: bool = False) -> dict[str, DataFrame]:
     """``signed`` (per row: hash, passages), ``classes`` (one row per distinct text: cid, smallest doc_id, copies), ``pairs`` (a, b, similarity of classes by cid)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     signed = materialize(spread(rows).mapInPandas(_sign, _SIGNED), "residue-signed")
@@ -419,14 +451,15 @@ def near_duplicates(docs: DataFrame, seed: int = 7) -> dict[str, DataFrame]:
             F.count(F.lit(1)).alias("copies"),
         ), "residue-classes",
     )
-    near = near_classes(classes, "residue-near", seed)
-    ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
-    # the texts of the smallest ids of these classes; an id that stands for several texts brings them all
-    # as a table of its own its size is known, so the texts are only shuffled if it is too large to broadcast
-    wanted = materialize(classes.join(ids, "cid", "left_semi").select("doc_id").distinct(), "residue-wanted")
-    sets = rows.join(wanted, "doc_id", "left_semi").where("text is not null").mapInPandas(_shingle_rows, "text_hash string, s array<int>")
-    sets = materialize(sets.withColumn("cid", F.xxhash64("text_hash")).dropDuplicates(["cid"]).select("cid", "s"), "residue-sets")
-    return {"signed": signed, "classes": classes, "pairs": materialize(verified(near, sets), "residue-pairs")}
+
+    def sets(ids: DataFrame) -> DataFrame:
+        # the texts of the smallest ids of these classes; an id that stands for several texts brings them all
+        # as a table of its own its size is known, so the texts are only shuffled if it is too large to broadcast
+        wanted = materialize(classes.join(ids, "cid", "left_semi").select("doc_id").distinct(), "residue-wanted")
+        out = rows.join(wanted, "doc_id", "left_semi").where("text is not null").mapInPandas(_shingle_rows, "text_hash string, s array<int>")
+        return materialize(out.withColumn("cid", F.xxhash64("text_hash")).dropDuplicates(["cid"]).select("cid", "s"), "residue-sets")
+
+    return {"signed": signed, "classes": classes, "pairs": near_classes(classes.select("cid", "f1", "f2"), "residue", seed, sets, star)}
 
 
 def representative_pairs(t: dict[str, DataFrame]) -> DataFrame:
@@ -451,7 +484,7 @@ def label_passages(signed: DataFrame, seed: int = 11) -> DataFrame:
     # one passage may stand in a third of all documents: the count of its copies is combined on the map side
     classes = each.groupBy("p").agg(F.max("trusted").alias("trusted")).withColumn("cid", F.xxhash64("p"))
     classes = materialize(classes.mapInPandas(_sign_passages, _PASSAGE_CLASS), "residue-passages")
-    pairs = materialize(verified(near_classes(classes, "residue-passages-near", seed), classes.select("cid", "s")), "residue-passages-pairs")
+    pairs = near_classes(classes.select("cid", "f1", "f2"), "residue-passages", seed, lambda ids: classes.select("cid", "s"), star=True)
     comp = connected_components(pairs, "a", "b")
     member = classes.select("p", "cid", "trusted").join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left")
     member = member.select("p", "trusted", F.coalesce("component", "cid").alias("component"))
@@ -501,7 +534,7 @@ def label_classes(docs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 
 def find_residue(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, component, trusted, residue) for every row with text."""
-    t = near_duplicates(docs)
+    t = near_duplicates(docs, star=True)
     label = label_classes(docs, t)
     label = label.select("text_hash", F.col("doc_id").alias("class_id"), "component", (F.col("marked") | F.col("holds")).alias("residue"))
     out = hot_split_join(t["signed"].where("text_hash is not null").select("doc_id", "text_hash", "trusted"), label, "text_hash")
@@ -510,7 +543,7 @@ def find_residue(docs: DataFrame) -> DataFrame:
 
 def propagation_report(docs: DataFrame) -> DataFrame:
     """One row of classes of equal texts: trusted themselves, added by a labelled passage, by a near copy, and near copies without residue."""
-    t = label_classes(docs, near_duplicates(docs)).where("in_component")
+    t = label_classes(docs, near_duplicates(docs, star=True)).where("in_component")
     return t.agg(
         F.count_if("trusted").alias("trusted"), F.count_if(F.expr("marked and not trusted")).alias("added_by_passage"),
         F.count_if(F.expr("holds and not marked")).alias("added_by_copy"), F.count_if(F.expr("not marked and not holds")).alias("removed"),

@@ -129,3 +129,48 @@ def test_table_plan_follows_the_size():
     for n in (2, 10**4, 10**7, 10**10):
         bits, tables, _ = residue.table_plan(n)
         assert 1 - (1 - (1 - miss) ** bits) ** tables >= residue.RECALL
+
+
+def test_hot_buckets_keep_their_components(spark, monkeypatch):
+    """Links to a bucket's first class give the components that all links give."""
+    from kgspark.operators.components import connected_components
+
+    monkeypatch.setattr(residue, "HOT_BUCKET", 3)
+    rng = random.Random(11)
+    base = [[f"t{k}w{j}" for j in range(90)] for k in range(12)]
+    docs = []
+    for i in range(240):
+        words = list(base[i % 12])
+        for _ in range(rng.randint(0, 1)):
+            words[rng.randrange(90)] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+
+    def groups(star):
+        t = residue.near_duplicates(df, star=star)
+        rows = connected_components(t["pairs"], "a", "b").collect()
+        out = {}
+        for r in rows:
+            out.setdefault(r["component"], set()).add(r["id"])
+        return {frozenset(g) for g in out.values()}, t["pairs"].count()
+
+    (all_links, n), (star, m) = groups(False), groups(True)
+    assert all_links == star and len(star) == 12 and m < n
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity between 0.8 and 0.85 are found in nine of ten cases."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    docs, want = [], set()
+    while len(want) < 220:
+        words = rng.choices(vocab, k=rng.randint(90, 240))
+        other = list(words)
+        for _ in range(rng.randint(1, 4)):
+            other[rng.randrange(len(other))] = rng.choice(vocab)
+        a, b = (set(residue.shingles(" ".join(w)).tolist()) for w in (words, other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            want.add((len(docs), len(docs) + 1))
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(other))]
+    got = {tuple(sorted((r["doc_a"], r["doc_b"]))) for r in residue.representative_pairs(residue.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
