@@ -410,17 +410,17 @@ def near_classes(classes: DataFrame, name: str, seed: int, sets: Callable[[DataF
     """
     bits, tables, radius = table_plan(classes.count())
     rows = keyed(classes, bits, tables, seed)
-    if not star:
+    first = None
+    if star:
+        first = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "f1", "f2")).alias("m")).where(F.col("n") >= HOT_BUCKET)
+        first = materialize(first.select("bucket", "m.*"), f"{name}-first")  # at most tables / HOT_BUCKET rows per class
+    if first is None or not first.limit(1).count():
         near = materialize(_pairs(rows, rows, radius), f"{name}-near")
         return materialize(verified(near, sets(_ids(near))), f"{name}-pairs")
-    first = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "f1", "f2")).alias("m")).where(F.col("n") >= HOT_BUCKET)
-    first = materialize(first.select("bucket", "m.*"), f"{name}-first")  # at most tables / HOT_BUCKET rows per class
     cold = rows.join(first.select("bucket"), "bucket", "left_anti")
     hot = materialize(rows.join(first.select("bucket"), "bucket", "left_semi"), f"{name}-hot")
     near = materialize(_pairs(cold, cold, radius).unionByName(_pairs(hot, first, radius)).distinct(), f"{name}-near")
     pairs = materialize(verified(near, sets(_ids(near))), f"{name}-pairs")
-    if not first.limit(1).count():
-        return pairs
     # what a bucket's first class does not stand for
     to_first = hot.join(first.select("bucket", F.col("id").alias("f")), "bucket")
     linked = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -522,14 +522,17 @@ def label_classes(docs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     member = materialize(member, "residue-members")
     spread_to = materialize(member.groupBy("component").agg(F.max("marked").alias("in_component"), F.min("marked").alias("all_marked")).where("in_component"), "residue-components")
     mixed = materialize(member.join(spread_to.where("not all_marked").select("component"), "component").select("text_hash", "doc_id", "component", "marked"), "residue-mixed")
+    out = member.join(spread_to.select("component", "in_component"), "component", "left").withColumn("in_component", F.coalesce("in_component", F.lit(False)))
+    cols = ["text_hash", "doc_id", "component", "in_component", "trusted", "marked"]
+    if not mixed.limit(1).count():  # no near copy of a document with residue lacks its passages
+        return out.select(*cols, F.lit(False).alias("holds"))
     known = mixed.where("marked").select("text_hash", "component").join(marks, "text_hash").select("component", F.explode("residue").alias("r")).select("component", "r.p", "r.slots").distinct()
     known = materialize(known.groupBy("component").agg(F.collect_list(F.struct("p", "slots")).alias("r")).select("component", F.col("r.p").alias("ps"), F.col("r.slots").alias("slots")), "residue-known")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     asked = rows.join(mixed.where("not marked").select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInPandas(_hash_rows, "text_hash string, text string").dropDuplicates(["text_hash"])
     asked = asked.join(mixed.where("not marked").select("text_hash", "component"), "text_hash").join(known, "component")
     holds = materialize(asked.select("text_hash", "text", "ps", "slots").mapInPandas(_damaged, "text_hash string, holds boolean"), "residue-holds")
-    out = member.join(spread_to.select("component", "in_component"), "component", "left").join(holds, "text_hash", "left")
-    return out.select("text_hash", "doc_id", "component", F.coalesce("in_component", F.lit(False)).alias("in_component"), "trusted", "marked", F.coalesce("holds", F.lit(False)).alias("holds"))
+    return out.join(holds, "text_hash", "left").select(*cols, F.coalesce("holds", F.lit(False)).alias("holds"))
 
 
 def find_residue(docs: DataFrame) -> DataFrame:
