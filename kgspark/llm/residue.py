@@ -80,7 +80,7 @@ WEAK_SLOTS = [
     rf"<(?!/?(?:noscript|title)>){_NAME}>", r"«(?:[a-z]+(?:[_.][a-z]+)*|[A-Z]{2,}|[A-Z][a-z]+[A-Z]\w*)(?: [a-z]+){0,3}»",
 ]
 _STRONG = re.compile("|".join(STRONG_SLOTS))
-_SLOTS = re.compile("|".join(f"(?:{p})" for p in STRONG_SLOTS + WEAK_SLOTS))
+_SLOTS = re.compile(rf"(?=[{{$<\[@_?#(«%DTJAN])(?:{'|'.join(STRONG_SLOTS + WEAK_SLOTS)})")  # the characters that slots begin with
 #: A quotation without a sentence end inside: its content is talked about.
 _QUOTED = re.compile(r"[“„\"«»‘‚](?:(?![.!?…] )[^“”„\"«»\n]){1,200}[”“\"»«’]")
 _CODE = re.compile(
@@ -113,12 +113,17 @@ SLOT, QUOTE = "▢", "◦"
 
 def normalise(text: str) -> str:
     """Lower case, soft hyphens with the space they left removed, white space collapsed."""
-    return " ".join(text.replace("­ ", "").replace("­\n", "").replace("­", "").lower().split())
+    return " ".join(_joined(text).lower().split())
+
+
+def _joined(text: str) -> str:
+    """Words cut by soft hyphens put together again."""
+    return text.replace("­ ", "").replace("­\n", "").replace("­", "") if "­" in text else text
 
 
 _EVIDENT, _FILLER_WORD, _OPENER, _HERE_WORD = range(4)
 #: What any slot holds; the patterns of slots are tried only on texts with one of these.
-OPENERS = ["{", "[", "<", "@@", "#", "$", "«", "__", "???", "/yyyy", ".jjjj", "/aaaa", "(null", "tbd", "article xx", "nan ", *(f"%{c}" for c in "abcdefghijklmnopqrstuvwxyz")]
+OPENERS = ["{", "[", "<", "@@", "#", "$", "__", "???", "/yyyy", ".jjjj", "/aaaa", "(null", "tbd", "article xx", "nan ", *(f"{x}{c}" for x in "%«" for c in "abcdefghijklmnopqrstuvwxyz")]
 
 
 def _automaton():
@@ -189,8 +194,7 @@ def residue_passages(text: str, norm: str) -> list[Passage]:
     if again:
         add(_mask(again), thrice, [])
     plain: list[tuple[str, set[str], bool]] = []
-    clean = text.replace("­ ", "").replace("­\n", "").replace("­", "")
-    for para in re.split(r"\n\s*\n", clean):
+    for para in re.split(r"\n\s*\n", _joined(text)):
         flat = _QUOTED.sub(lambda m: m.group() if _SLOTS.fullmatch(m.group()) else f" {QUOTE} ", " ".join(para.split()))
         low = flat.lower()
         for rx in (*((_CODE, _STATUS, _SCRIPT, _MARKUP) if seen else ()), *((_FILLER,) if filler >= 2 else ()), *((_HERE,) if here else ())):
