@@ -56,13 +56,18 @@ STOPWORDS = {
 }
 
 _OPEN, _CLOSE = "“„«¿¡(§•—‘「『", r")\]’'\""
+_CLOSING = frozenset(_CLOSE.replace("\\", ""))
 _SCRIPTS = {
     "el": r"[Ͱ-Ͽἀ-῿]", "bg": r"[Ѐ-ӿ]", "ar": r"[؀-ۿ]",
     "hi": r"[ऀ-ॿ]", "th": r"[฀-๿]", "ja": r"[぀-ヿ]", "zh": r"[一-鿿]",
 }
 _SCRIPT_RX = {k: re.compile(v + "+") for k, v in _SCRIPTS.items()}
 _NON_LATIN = re.compile(r"[Ͱ-ӿ؀-ۿऀ-ॿ฀-๿ἀ-῿぀-ヿ一-鿿]")
-_STOP_RX = {k: re.compile(rf"\b(?:{'|'.join(v.split())})\b", re.I) for k, v in STOPWORDS.items()}
+_STOP_OF: dict[str, list[str]] = {}
+for _lang, _words in STOPWORDS.items():
+    for _w in _words.split():
+        _STOP_OF.setdefault(_w, []).append(_lang)
+_WORD = re.compile(r"\w+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 _QUOTES = re.compile(
@@ -150,7 +155,10 @@ def detect_language(text: str) -> str:
         if sum(n.values()) * 3 >= latin:
             best = max(n, key=lambda k: n[k])
             return "ja" if best == "zh" and n["ja"] * 20 >= n["zh"] else best
-    votes = {k: len(rx.findall(text)) for k, rx in _STOP_RX.items()}
+    votes = dict.fromkeys(STOPWORDS, 0)
+    for w in filter(_STOP_OF.__contains__, _WORD.findall(text.lower())):
+        for k in _STOP_OF[w]:
+            votes[k] += 1
     best = max(votes, key=lambda k: votes[k])
     return best if votes[best] else "en"
 
@@ -208,7 +216,7 @@ def sentence_starts(text: str | None, lang: str | None = None) -> list[int]:
             if text[j : quotes[q][1] - 1].strip():
                 continue  # inside a quotation
             j = quotes[q][1]
-        while j < len(text) and text[j] in _CLOSE.replace("\\", ""):
+        while j < len(text) and text[j] in _CLOSING:
             j += 1
         k = _SPACE.match(text, j).end()
         take_hard(j)
