@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.operators.skew import hot_keys, hot_split_join
+from kgspark.operators.skew import hot_split_join
 from kgspark.session import materialize, spread
 
 NODES = "line_no bigint, kind string, parent string, ordinal int, hash string, chunk_id string, payload string"
@@ -153,14 +153,10 @@ def flat_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     entities = materialize(_children(t, attempts, "attempt_hash", "entity", "item_pos", "entity_hash"), "nested-entities")
     relations = materialize(_children(t, attempts, "attempt_hash", "relation", "item_pos", "relation_hash"), "nested-relations")
     spans = materialize(_children(t, entities, "entity_hash", "span", "sub_pos", "span_hash"), "nested-spans")
-    lines = t["lines"]
-    hot = hot_keys(lines, "record_hash").select("record_hash")
-    cold = lines.join(F.broadcast(hot), "record_hash", "left_anti")  # at most 1 / fraction hot records
+    lines = materialize(t["lines"], "nested-lines")
 
     def occurrences(rows: DataFrame, *cols: str) -> DataFrame:
-        few = F.broadcast(rows.join(F.broadcast(hot), "record_hash", "left_semi"))  # the items of the hot records
-        both = lines.join(few, "record_hash").unionByName(cold.join(rows, "record_hash"))
-        return both.select("line_no", "chunk_id", *cols)
+        return hot_split_join(lines, rows, "record_hash").select("line_no", "chunk_id", *cols)
 
     a = _payload(t, attempts, "attempt_hash", "attempt", n="n", status="status", seconds="seconds")
     e = _payload(t, entities, "entity_hash", "entity", text="text", type="type")

@@ -56,17 +56,24 @@ def hot_keys(rows: DataFrame, key: str, fraction: float = 0.01) -> DataFrame:
     return counts.where(F.col(key).isNotNull() & (F.col("n") >= F.lit(fraction) * total)).select(key, "n")
 
 
+def hot_values(rows: DataFrame, key: str, fraction: float = 0.01) -> list:
+    """The hot keys themselves: at most 1/fraction values, so they may come to the driver."""
+    return [r[key] for r in hot_keys(rows, key, fraction).select(key).collect()]
+
+
 def hot_split_join(left: DataFrame, right: DataFrame, key: str, fraction: float = 0.01) -> DataFrame:
-    """Inner join on ``key`` where ``right`` holds each key once and ``left`` may be dominated by a few keys.
+    """Inner join on ``key`` where ``left`` may be dominated by a few keys and ``right`` holds few rows of each.
 
-    The hot keys (at most 1/fraction, hence a proven bound) meet a broadcast of their rows of ``right``;
-    all others take the ordinary shuffled join.  No row is dropped; NULL keys match nothing.
+    The rows of ``right`` with hot keys (at most 1/fraction keys, hence a proven bound) are broadcast to the rows of
+    ``left`` that have them; all others, or all where no key is hot, take the ordinary shuffled join.  No row is
+    dropped; NULL keys match nothing.
     """
-    hot = hot_keys(left, key, fraction).select(key)
-    small = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
-    cold_left = left.join(F.broadcast(hot), key, "left_anti")
-    cold_right = right.join(F.broadcast(hot), key, "left_anti")
-    return left.join(small, key).unionByName(cold_left.join(cold_right, key))
+    hot = hot_values(left, key, fraction)
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    many = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key)
+    return many.unionByName(left.where(~is_hot).join(right.where(~is_hot), key))
 
 
 def spread_rank(
