@@ -32,6 +32,8 @@ SHARD_DOCS = 4096
 #: The routing is fitted on a sample of about so many rows, those of the smallest row hash among texts of up to so many
 #: characters; the first of them are the anchors, and there are at most as many cells as the square of their number.
 SAMPLE, SAMPLE_CHARS, ANCHORS = 512, 100_000, 128
+#: A term in more than one of so many items of a shard has a row of its own instead of postings.
+DENSE_SHARE = 8
 _OUT = "container_id bigint, position int, id string, piece_no int, n_pieces int, token_start bigint, n_tokens bigint, score double"
 _CONTAINERS_PER_SHARD = 100_000_000
 
@@ -63,19 +65,31 @@ class Bm25Index:
         order = np.argsort(term, kind="stable")
         self.post_item, self.post_weight = item[order], weight[order]
         self.post_at = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        # terms of many items are added as whole rows, which is cheaper than their postings; there are few of them
+        length = np.diff(self.post_at)
+        often = np.flatnonzero(length > max(16, n // DENSE_SHARE))
+        self.dense_row = dict(zip(often.tolist(), range(len(often)), strict=True))
+        self.dense = np.zeros((len(often), n))
+        for t, r in self.dense_row.items():
+            at = slice(self.post_at[t], self.post_at[t + 1])
+            self.dense[r, self.post_item[at]] = self.post_weight[at]
 
     def scores(self, q: int) -> np.ndarray:
-        """BM25 score of every item (that has not been dropped) for item ``q`` as the query."""
-        at, items, weights = self.post_at, [], []
+        """BM25 score of every item for item ``q`` as the query; of items that have been dropped the score is too low."""
+        at, items, weights, rows = self.post_at, [], [], []
         for t in self.query_terms[self.query_at[q] : self.query_at[q + 1]].tolist():
-            items.append(self.post_item[at[t] : at[t + 1]])
-            weights.append(self.post_weight[at[t] : at[t + 1]])
-        if not items:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate(items), weights=np.concatenate(weights), minlength=self.n)
+            if (r := self.dense_row.get(t)) is not None:
+                rows.append(r)
+            else:
+                items.append(self.post_item[at[t] : at[t + 1]])
+                weights.append(self.post_weight[at[t] : at[t + 1]])
+        out = np.bincount(np.concatenate(items), weights=np.concatenate(weights), minlength=self.n) if items else np.zeros(self.n)
+        for r in rows:
+            out += self.dense[r]
+        return out
 
     def drop(self, keep: np.ndarray) -> None:
-        """Take the items out of the postings that ``keep`` (one truth value per item) says no to; they score 0 from now on."""
+        """Take the items that ``keep`` (one truth value per item) says no to out of the postings."""
         left = keep[self.post_item]
         self.post_at = np.concatenate(([0], np.cumsum(left)))[self.post_at]
         self.post_item, self.post_weight = self.post_item[left], self.post_weight[left]
