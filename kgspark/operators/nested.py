@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.operators.skew import hot_split_join
+from kgspark.operators.skew import hot_split_join, hot_values
 from kgspark.session import materialize, spread
 
 NODES = "line_no bigint, kind string, parent string, ordinal int, hash string, chunk_id string, payload string"
@@ -142,37 +142,42 @@ def _payload(t: dict[str, DataFrame], rows: DataFrame, hash_col: str, kind: str,
     return hot_split_join(rows, objects, hash_col)
 
 
-def flat_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """attempts, entities, relations and spans: every occurrence, each with the way to its parents.
+FLAT = {
+    "attempts": ("attempt_hash", "attempt", ["record_hash", "attempt_pos", "attempt_hash"], {"n": "n", "status": "status", "seconds": "seconds"}),
+    "entities": ("entity_hash", "entity", ["attempt_pos", "attempt_hash", "item_pos", "entity_hash"], {"text": "text", "type": "type"}),
+    "relations": ("relation_hash", "relation", ["attempt_pos", "attempt_hash", "item_pos", "relation_hash"], {"subject": "subject", "relation": "relation", "object": "object"}),
+    "spans": ("span_hash", "span", ["attempt_pos", "item_pos", "entity_hash", "sub_pos", "span_hash"], {"surface": "surface", "start": "start", "end": "end"}),
+}
+
+
+def flat_tables(t: dict[str, DataFrame], names: list[str] | None = None) -> dict[str, DataFrame]:
+    """attempts, entities, relations and spans, or those named: every occurrence, each with the way to its parents.
 
     The bridge is walked once for every distinct record.  The last step goes from records to the lines that hold them;
     a record that makes up a third of all lines is split off there.
     """
+    names = list(FLAT) if names is None else names
     records = t["lines"].select("record_hash").distinct()
-    attempts = materialize(_children(t, records, "record_hash", "attempt", "attempt_pos", "attempt_hash"), "nested-attempts")
-    entities = materialize(_children(t, attempts, "attempt_hash", "entity", "item_pos", "entity_hash"), "nested-entities")
-    relations = materialize(_children(t, attempts, "attempt_hash", "relation", "item_pos", "relation_hash"), "nested-relations")
-    spans = materialize(_children(t, entities, "entity_hash", "span", "sub_pos", "span_hash"), "nested-spans")
+    walked = {"attempts": materialize(_children(t, records, "record_hash", "attempt", "attempt_pos", "attempt_hash"), "nested-attempts")}
+    if {"entities", "spans"} & set(names):
+        walked["entities"] = materialize(_children(t, walked["attempts"], "attempt_hash", "entity", "item_pos", "entity_hash"), "nested-entities")
+    if "relations" in names:
+        walked["relations"] = materialize(_children(t, walked["attempts"], "attempt_hash", "relation", "item_pos", "relation_hash"), "nested-relations")
+    if "spans" in names:
+        walked["spans"] = materialize(_children(t, walked["entities"], "entity_hash", "span", "sub_pos", "span_hash"), "nested-spans")
     lines = materialize(t["lines"], "nested-lines")
-
-    def occurrences(rows: DataFrame, *cols: str) -> DataFrame:
-        return hot_split_join(lines, rows, "record_hash").select("line_no", "chunk_id", *cols)
-
-    a = _payload(t, attempts, "attempt_hash", "attempt", n="n", status="status", seconds="seconds")
-    e = _payload(t, entities, "entity_hash", "entity", text="text", type="type")
-    r = _payload(t, relations, "relation_hash", "relation", subject="subject", relation="relation", object="object")
-    s = _payload(t, spans, "span_hash", "span", surface="surface", start="start", end="end")
-    return {
-        "attempts": occurrences(a, "record_hash", "attempt_pos", "attempt_hash", "n", "status", "seconds"),
-        "entities": occurrences(e, "attempt_pos", "attempt_hash", "item_pos", "entity_hash", "text", "type"),
-        "relations": occurrences(r, "attempt_pos", "attempt_hash", "item_pos", "relation_hash", "subject", "relation", "object"),
-        "spans": occurrences(s, "attempt_pos", "item_pos", "entity_hash", "sub_pos", "span_hash", "surface", "start", "end"),
-    }
+    hot = hot_values(lines, "record_hash")
+    out = {}
+    for name in names:
+        own, kind, places, fields = FLAT[name]
+        rows = _payload(t, walked[name], own, kind, **fields)
+        out[name] = hot_split_join(lines, rows, "record_hash", hot=hot).select("line_no", "chunk_id", *places, *fields)
+    return out
 
 
 def found_items(t: dict[str, DataFrame]) -> DataFrame:
     """One row per entity, relation and span object of every readable line."""
-    flat = flat_tables(t)
+    flat = flat_tables(t, ["entities", "relations", "spans"])
     part = lambda df, kind, sub, text: df.select(
         "line_no", "attempt_pos", F.lit(kind).alias("item_kind"), "item_pos", sub.cast("int").alias("sub_pos"), F.coalesce(text, F.lit("")).alias("item_text")
     )

@@ -61,14 +61,14 @@ def hot_values(rows: DataFrame, key: str, fraction: float = 0.01) -> list:
     return [r[key] for r in hot_keys(rows, key, fraction).select(key).collect()]
 
 
-def hot_split_join(left: DataFrame, right: DataFrame, key: str, fraction: float = 0.01) -> DataFrame:
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, fraction: float = 0.01, hot: list | None = None) -> DataFrame:
     """Inner join on ``key`` where ``left`` may be dominated by a few keys and ``right`` holds few rows of each.
 
     The rows of ``right`` with hot keys (at most 1/fraction keys, hence a proven bound) are broadcast to the rows of
     ``left`` that have them; all others, or all where no key is hot, take the ordinary shuffled join.  No row is
-    dropped; NULL keys match nothing.
+    dropped; NULL keys match nothing.  ``hot`` gives the hot keys where they are known.
     """
-    hot = hot_values(left, key, fraction)
+    hot = hot_values(left, key, fraction) if hot is None else hot
     if not hot:
         return left.join(right, key)
     is_hot = F.col(key).isin(hot)

@@ -62,7 +62,7 @@ def _flat(name: str):
     """A flat table with the places that lead to its parents; the identities are left to ``p4_objects`` and ``p4_bridge``."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = nested.flat_tables(_tables(spark, sf))[name]
+        df = nested.flat_tables(_tables(spark, sf), [name])[name]
         return df.select(*[c for c in df.columns if not c.endswith("_hash")])
 
     return run
